@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from haulmark.llm import q_packing, q_token_files
+from haulmark.llm import q_langid, q_packing, q_simhash, q_suffix_dedup, q_token_files
 
-MODULES = [q_token_files, q_packing]
+MODULES = [q_token_files, q_langid, q_simhash, q_packing, q_suffix_dedup]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
