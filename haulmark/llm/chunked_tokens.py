@@ -1,63 +1,176 @@
 """Encoding of whole texts by a public tokenizer, word chunk by word chunk.
 
-The tokenizers library encodes every distinct chunk of white-space-separated text once; a text's ids
-are its chunks' ids in order. That is exact where the tokenizer's pre-tokenizer always breaks at the
-places used here, which holds for the two boundaries below (and is tested against whole-text encoding).
+The tokenizers library encodes every distinct chunk of white-space-separated text once; a text's ids are its chunks'
+ids in order. That is exact where the tokenizer's pre-tokenizer always breaks at the places used here, which is tested
+against whole-text encoding. The places, for the two kinds of boundary:
+
+* ``dropped``: white space separates words and is not encoded.
+* ``leading``: one space between two visible characters starts the next word's token; other white space stays inside a
+  chunk.
+
+Inside a chunk, a letter next to ASCII punctuation other than an apostrophe ends or starts a token, and so does either
+side of one line feed between visible ASCII characters. A piece that is a run of Latin letters is one token of the
+pre-tokenizer and goes straight to the library's model. Everything else is left to the whole tokenizer, which gets the
+pieces that are new many at a time, between separators that no token can span. Both memos are bounded.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: "dropped": white space separates words and is not encoded. "leading": one space between two visible
-#: characters starts the next word's token. Other white space stays inside a chunk.
-BOUNDARIES = {
-    "dropped": re.compile(r"[ \t\n\r]+"),
-    "leading": re.compile(r"(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])"),
-}
-MEMO_CHUNKS, MEMO_CHARS, BATCH_CHARS = 400_000, 64, 100_000
+BIG, SPACE = sys.byteorder == "big", chr(256 + 32)
+#: A memo that is full becomes the old one, which is still asked; so each holds at most twice that and one call's.
+MEMO, MEMO_CHARS, CALL_CHARS = 400_000, 48, 200_000
+VISIBLE = "!-~¡-ɏ"
+LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+MARKS = r"!-&(-/:-@\[-`{-~"
+#: White space that the library's patterns and Python's may see differently, or that isn't ASCII.
+ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    　﻿]")
+INSIDE = re.compile(rf"(?<=[{LETTER}])(?=[{MARKS}])|(?<=[{MARKS}])(?=[{LETTER}])|(?<=[!-~])(?=\n[!-~])|(?<=[!-~]\n)(?=[!-~])")
+WORD = re.compile(rf" ?[{LETTER}]+")
+SPLIT = {"dropped": re.compile(r"[ \t\n\r]+"), "leading": re.compile(rf"(?<=[{VISIBLE}])(?= [{VISIBLE}])")}
+ENDS_VISIBLE = re.compile(rf"[{VISIBLE}](?:.*[{VISIBLE}])?", re.DOTALL)
+#: (text, ids it adds before and after its own one id) between two chunks.
+SEPARATOR = {"dropped": (" \x01 ", 0), "leading": ("\n\x01\n", 1)}
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
 
 
 class ChunkEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers. The memo is bounded."""
+    """encode_many(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, boundary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = BOUNDARIES[boundary].split
-        self.memo: dict[str, bytes] = {"": b""}
+        self.leading = boundary == "leading"
+        self.split = SPLIT[boundary].split
+        self.separator, self.around = SEPARATOR[boundary]
+        ids = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
+        self.mark = ids[self.around] if len(ids) == 1 + 2 * self.around else None
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.old_pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes | None] = {}
+        self.old_parts: dict[str, bytes | None] = {}
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _library(self, chunks: list[str]) -> list[bytes]:
-        out, batch, chars = [], [], 0
-        for i, chunk in enumerate(chunks):
-            batch.append(chunk)
-            chars += len(chunk)
-            if chars >= BATCH_CHARS or i == len(chunks) - 1:
-                done = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-                out += [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-                batch, chars = [], 0
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of runs of Latin letters: straight from the model, which wants the byte-level alphabet."""
+        tokenize, letters, out = self.model.tokenize, self.letters, []
+        for word in words:
+            if not self.leading:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            elif word[0] == " ":
+                word = SPACE + word[1:]
+            ids = array("I", [t.id for t in tokenize(word)])
+            if BIG:
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
+    def _library(self, pieces: list[str]) -> dict[str, bytes]:
+        out, call, chars = {}, [], 0
+        for i, piece in enumerate(pieces):
+            if self.mark is None or "\x01" in piece or piece[:2].isspace():
+                out[piece] = self._ids(piece).tobytes()
+            else:
+                call.append(piece)
+                chars += len(piece)
+            if call and (chars >= CALL_CHARS or i == len(pieces) - 1):
+                ids = self._ids(self.separator.join(["", *call, ""]))
+                at = np.nonzero(ids == self.mark)[0]
+                if len(at) != len(call) + 1:
+                    raise ValueError("a separator was not encoded on its own")
+                raw, a = ids.tobytes(), self.around
+                for piece_, lo, hi in zip(call, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    out[piece_] = raw[4 * (lo + 1 + a) : 4 * (hi - a)]
+                call, chars = [], 0
+        return out
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, as they stand in a text."""
+        if len(self.pieces) > MEMO:
+            self.old_pieces, self.pieces = self.pieces, {"": b""}
+        known, old, word = self.pieces, self.old_pieces, WORD.fullmatch
+        cut = {c: INSIDE.split(c) for c in chunks if not word(c)}
+        need = set(chunks).difference(cut).union(*cut.values()).difference(known)
+        have = need.intersection(old)
+        need -= have
+        words = [p for p in need if word(p)]
+        new = {p: old[p] for p in have}
+        new |= zip(words, self._words(words), strict=True)
+        new |= self._library(list(need.difference(words)))
+        known.update(new)
+        found = [b"".join([known[p] for p in cut[c]]) if c in cut else known[c] for c in chunks]
+        for p in [p for p in new if len(p) > MEMO_CHARS]:
+            del known[p]
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        plain = [not ODD.search(t) for t in texts]
+        lead = self.leading
+        parts = [(t.split(" ") if lead else t.split()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        if lead:
+            first = [p.pop(0) if p else "" for p in parts]
+            plain = [p and (not x or not f or ENDS_VISIBLE.fullmatch(f) is not None) and (f != "" or not x) for p, f, x in zip(plain, first, parts, strict=True)]
+        memo, long = self.parts, []
+        if new := set().union(*parts).difference(memo):
+            if len(memo) > MEMO:
+                self.old_parts, self.parts = memo, {}
+                memo, new = self.parts, set().union(*parts)
+            old = self.old_parts
+            memo.update((c, old[c]) for c in new if c in old)
+            new = new.difference(memo)
+            good = [c for c in new if not lead or ENDS_VISIBLE.fullmatch(c)]
+            memo.update(dict.fromkeys(new))
+            memo.update(zip(good, self._learn([" " + c for c in good] if lead else good), strict=True))
+            long = [c for c in new if len(c) > MEMO_CHARS]
+        out: list[bytes] = []
+        heads = iter(self._learn([f for f, p in zip(first, plain, strict=True) if p])) if lead else iter(())
+        for text, own, whole in zip(texts, parts, plain, strict=True):
+            head = next(heads) if lead and whole else b""
+            try:
+                found = b"".join(map(memo.__getitem__, own)) if whole else None
+            except TypeError:  # a part that does not start and end with a visible character
+                found = None
+            out.append(b"".join(self._learn(self.split(text))) if found is None else head + found)
+        for c in long:
+            del memo[c]
         return out
 
     def encode(self, text: str) -> bytes:
-        chunks = self.split(text)
-        memo = self.memo
-        if missing := list({c for c in chunks if c not in memo}):
-            if len(memo) + len(missing) > MEMO_CHUNKS:
-                memo.clear()
-                memo[""] = b""
-                missing = list(set(chunks) - {""})
-            found = dict(zip(missing, self._library(missing), strict=True))
-            memo.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHARS)
-            return b"".join([found[c] if c in found else memo[c] for c in chunks])
-        return b"".join(map(memo.__getitem__, chunks))
+        return self.encode_many([text])[0]
+
+
+def encoded(enc: ChunkEncoder, texts: list[str], chars: int = 1 << 20):
+    """Each text's ids in turn, encoded some at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield from enc.encode_many(held)
+            held, size = [], 0
+    yield from enc.encode_many(held)
 
 
 _open: dict[tuple[str, str], ChunkEncoder] = {}

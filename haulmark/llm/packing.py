@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm._common import small_batches, text_or_empty
-from haulmark.llm.chunked_tokens import encoder
+from haulmark.llm.chunked_tokens import encoded, encoder
 
 GROUP_DOCS = 2_048
 PIECES = (
@@ -122,8 +122,9 @@ def pack_documents(
         kinds = [pa.int64()] * 7 + [pa.binary()]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, group, tie in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = enc.encode(text.as_py()) + end
+            cols = [c.to_pylist() for c in batch.columns]
+            for doc_id, own, group, tie in zip(cols[0], encoded(enc, cols[1]), *cols[2:], strict=True):
+                raw = own + end
                 n = len(raw) // 4
                 for at in range(0, len(raw), step):
                     ids = raw[at : at + step]

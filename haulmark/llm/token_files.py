@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.llm._common import small_batches, text_or_empty
-from haulmark.llm.chunked_tokens import encoder
+from haulmark.llm.chunked_tokens import encoded, encoder
 
 #: Bounds of the sample the dictionary is trained on: documents, characters of each, ids of each.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_IDS = 400, 65_536, 8_192
@@ -105,8 +105,8 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1).to_pylist()), strict=True):
+                raw = np.frombuffer(own + end, "<u4")
                 frame = press.compress(raw.astype(kind).tobytes())
                 ids.append(doc_id)
                 counts.append(len(raw))

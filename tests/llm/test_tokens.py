@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from haulmark.llm import chunked_tokens
 from haulmark.llm._common import new_folder
 from haulmark.llm.chunked_tokens import ChunkEncoder
 from haulmark.llm.packing import pack, pack_documents
@@ -38,14 +40,25 @@ def whole(path):
 def test_chunks_encode_as_whole_texts(path, boundary):
     enc, lib = ChunkEncoder(path, boundary), whole(path)
 
-    @settings(max_examples=400, deadline=None)
+    @settings(max_examples=1500, deadline=None)
     @given(st.text(st.one_of(st.sampled_from(" \n\t\r'.,AaΣσ́ \u0085 \x1c​9é日<|>"), st.characters(exclude_categories=["Cs"])), max_size=60))
     def same(text):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == lib(text)
 
     same()
-    for _, text, _ in ROWS:
-        assert np.frombuffer(enc.encode(text or ""), "<u4").tolist() == lib(text)
+    texts = [text or "" for _, text, _ in ROWS]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(texts)] == list(map(lib, texts))
+    prose = [r.text for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pandas().itertuples()]
+    got = [x for i in range(0, len(prose), 50) for x in enc.encode_many(prose[i : i + 50])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(lib, prose))
+
+
+@pytest.mark.parametrize(("path", "boundary"), [(WORD, "dropped"), (BYTE, "leading")])
+def test_bounded_memo_changes_nothing(path, boundary, monkeypatch):
+    monkeypatch.setattr(chunked_tokens, "MEMO", 40)
+    enc, lib = ChunkEncoder(path, boundary), whole(path)
+    texts = [" ".join(f"w{j * i}." for j in range(60)) for i in range(20)] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for i in range(0, 40, 3) for x in enc.encode_many(texts[i : i + 3])] == list(map(lib, texts))
 
 
 def test_token_files_round_trip(spark):
