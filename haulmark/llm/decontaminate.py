@@ -34,6 +34,8 @@ from haulmark.llm._common import small_batches, staged, text_or_empty
 
 PASSAGE, RANK, COSINE, LCS, LCS_ANSWER, MOST, SEED = 64, 96, 0.35, 0.7, 0.55, 0.1, 29
 BLOCK_ITEMS, BLOCK_CHARS, TERMS_A_ROW, FAN_IN = 5_000, 4_000_000, 512, 32
+#: Up to so many leaking ids are broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 100_000
 WORD = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, first_word long, last_word long, cosine double, lcs double, answer boolean"
 
@@ -287,3 +289,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that leak an item; with a repeated doc_id, all its rows go."""
+    bad = staged(leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_leak"), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches
+from haulmark.llm._common import small_batches, staged
 
 SAMPLE_DOCS, SAMPLE_CHARS, FIT_LETTERS, RUN_LETTERS = 400, 65_536, 48, 256
 ROUNDS, SMOOTH, PIECE_CHARS, MEMO_WORDS = 3, 0.05, 16, 400_000
+#: Up to so many languages' shares are broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 10_000
 #: The score is the posterior as if the text had at most so many words.
 SCORE_WORDS = 8
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -144,7 +146,9 @@ def fit(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("lang", "text")
     share = known.groupBy("lang").agg((F.lit(SAMPLE_DOCS * float(1 << 20)) / F.count("*")).alias("share"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
+    share = staged(share, "shares")
+    small = F.broadcast(share) if share.count() <= BROADCAST_ROWS else share
+    sample = known.join(small, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,3 +225,19 @@ def predict(docs: DataFrame, path: str, langs: list[str], p: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-3], *batch.schema.names[-2:]])
 
     return wide.mapInArrow(judge, wide.drop("_text").schema)
+
+
+def recognised(docs: DataFrame, path: str, langs: list[str], p: np.ndarray, least: float) -> DataFrame:
+    """docs whose language is recognised with at least that score, with all their columns."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(p, vocabulary(path)) if langs else None
+        for batch in batches:
+            texts = [words_of(t.as_py() or "") if scorer else [] for t in batch.column(at)]
+            if scorer:
+                scorer.know({w for t in texts for w in t})
+            yield batch.filter(pa.array([bool(t) and scorer.score(t)[1] >= least for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -76,9 +76,11 @@ OK = {"email": None, "ip": _octets, "card": _luhn, "phone": lambda v: F.length(_
 
 
 def spotted(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, tie, text, email, ip, card, phone): the last four are arrays of (start, end, value)."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    """(doc_id, rest, doc, tie, text, email, ip, card, phone): rest is a struct of the other columns, the last four are arrays
+    of (start, end, value)."""
+    rest = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    rows = docs.select(F.col("doc_id").cast("long"), rest.alias("rest"), text_or_empty().alias("text"))
+    rows = rows.select("doc_id", "rest", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     need = {"email": "@", "ip": ".", "phone": "+"}
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     cols = {}
@@ -124,17 +126,17 @@ def disclosing(found_: DataFrame) -> DataFrame:
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): spans are array<struct<start, kind, end>> by start, then kind (its number in KINDS)."""
+    """(doc_id, rest, text, spans): spans are array<struct<start, kind, end>> by start, then kind (its number in KINDS)."""
     rows = spotted(docs)
     terms = staged(disclosing(rows), "doc_terms")
     rows = rows.join(_small(terms), ["doc", "tie"], "left")
     number = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
-    rows = rows.select("doc_id", "text", "terms", F.concat(*map(number, PATTERNS)).alias("base"))
+    rows = rows.select("doc_id", "rest", "text", "terms", F.concat(*map(number, PATTERNS)).alias("base"))
     wanted = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     extra = F.transform(found(F.col("text"), wanted), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
     clear = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     spans = F.when(F.col("terms").isNotNull(), F.concat("base", clear)).otherwise(F.col("base"))
-    return rows.select("doc_id", "text", F.array_sort(spans).alias("spans"))
+    return rows.select("doc_id", "rest", "text", F.array_sort(spans).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -157,3 +159,11 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+
+
+def sanitised(docs: DataFrame) -> DataFrame:
+    """docs with all spans generalised in text; n_chars, if there is one, follows."""
+    rows = personal_spans(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    of = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    out = rows.select(*(of.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -145,7 +145,7 @@ def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray,
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, node): node is a hash of the text's words."""
+    """(doc_id, tie, fp, node): tie is a hash of the text, node one of its words."""
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,10 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(fingerprint(shingle_hashes(w, words)))
                 nodes.append(xxh3_64_intdigest(b" ".join(w)))
             both = [np.array(x, np.uint64).view(np.int64) for x in (fps, nodes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, both)], ["doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, both)], ["doc_id", "tie", "fp", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(compute, "doc_id long, fp long, node long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    return rows.mapInArrow(compute, "doc_id long, tie long, fp long, node long")
 
 
 def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
@@ -266,7 +267,8 @@ def _similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, ja
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard: float | None = None) -> DataFrame:
-    """(doc_id, fp, node, component_id): a row per document; component_id is the smallest doc_id in its class.
+    """(doc_id, tie, fp, root, component_id): a row per document; root names its class, component_id is the smallest doc_id in
+    it.
 
     Without ``jaccard`` a link is a Hamming distance of at most ``distance``. With it, a link also needs that Jaccard
     similarity of the two texts' shingle sets; the candidates are then all pairs within the distance at anchors with few
@@ -279,8 +281,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard:
     edges = links(nodes, distance, jaccard is not None)
     if jaccard is not None:
         edges = _similar(staged(edges, "candidates"), docs, nodes, words, jaccard)
-    roots = components(edges).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), F.col("root.first").alias("root"))
-    classes = nodes.select("node", "first").join(roots, ["node", "first"], "left").select("node", F.coalesce("root", "first").alias("component_id"))
-    classes = staged(classes, "classes")
-    joined = prints.withColumn("key", F.col(own)).join(classes.withColumnRenamed("node", "key"), "key")
-    return joined.select("doc_id", "fp", "node", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    roots = components(edges).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), "root")
+    own_root = F.coalesce("root", F.struct("first", "node"))
+    classes = staged(nodes.select("node", "first").join(roots, ["node", "first"], "left").select(F.col("node").alias("key"), own_root.alias("root")), "classes")
+    joined = prints.withColumn("key", F.col(own)).join(classes, "key")
+    return joined.select("doc_id", "tie", "fp", "root", F.nullif("root.first", F.lit(NO_ID)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, distance: int = 12, jaccard: float = 0.8) -> DataFrame:
+    """docs with one row of each class: the one with the smallest doc_id, of several such rows the one with the least text
+    hash, of rows with the same text any."""
+    found = near_duplicates(docs, words, distance, jaccard)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "tie"))
+    keep = staged(found.groupBy("root").agg(first.alias("k")).select("k.d", "k.tie"), "kept")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("tie"))
+    return own.join(keep, ["d", "tie"]).dropDuplicates(["d", "tie"]).select("row.*")
