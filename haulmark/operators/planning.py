@@ -13,7 +13,9 @@ def ranges(max_id: DataFrame, size: int = RANGE_SIZE) -> DataFrame:
     """(range_start, range_end): from 1 without gaps; the last may pass the largest id. None for a max_id under 1."""
     if size <= 0:
         raise ValueError("a range holds at least one id")
-    starts = max_id.where("max_id >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_id").cast("long"), F.lit(size).cast("long"))).alias("range_start"))
+    last = F.greatest(F.lit(1), F.col("max_id")).cast("long")
+    starts = max_id.select("max_id", F.explode(F.sequence(F.lit(1).cast("long"), last, F.lit(size).cast("long"))).alias("range_start"))
+    starts = starts.where("max_id >= 1").select("range_start")
     return starts.withColumn("range_end", F.col("range_start") + size - 1)
 
 

@@ -34,3 +34,26 @@ def cdc_ledger_fold(spark, d):
 def cdc_created_at(spark, d):
     rows = cdc.with_created_at(cdc.changes(t.change_log(spark, d)), t.files(spark, d))
     return rows.select("seq", "id", F.unix_seconds("created_at").alias("created_s"))
+
+
+def _new_folder(spark, label):
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/haulmark-checkpoints"
+    return f"{root.rstrip('/')}/haulmark-{label}-{uuid.uuid4().hex}"
+
+
+@query(
+    "cdc_stream_fold",
+    sql("""WITH g AS (SELECT *, max(CASE WHEN op = 'd' THEN seq END) OVER (PARTITION BY id) AS gone FROM changes)
+SELECT id AS source_id, 'cdc' AS lane, 'DONE' AS status, (count(*) FILTER (op = 'u') + CASE WHEN arg_min(op, seq) IN ('c', 'r') THEN 1 ELSE 0 END)::INTEGER AS attempts,
+  coalesce(arg_max(version, seq) FILTER (op = 'u'), 0) AS source_version, max(seq) AS last_seq FROM g WHERE gone IS NULL OR seq > gone GROUP BY id""", "changes"),
+)
+def cdc_stream_fold(spark, d):
+    """The same fold by the streaming job, over the log cut into files in commit order."""
+    from haulmark.streaming import changes
+
+    folder = _new_folder(spark, "stream")
+    t.change_log(spark, d).repartitionByRange(4, "seq").write.parquet(f"{folder}/log")
+    changes.run(spark, f"{folder}/log", f"{folder}/out", files_a_batch=1)
+    return changes.ledger_of(spark, f"{folder}/out")
