@@ -1,6 +1,7 @@
 """Change envelopes as a stream: the ledger as keyed state, one micro-batch at a time.
 
-A key's changes reach one task in order of seq. Redelivery of a batch is harmless: a change at or below the key's last
+A key's changes reach one task, in order of seq within a micro-batch; between micro-batches the source keeps a key's
+order, as a topic's partitions do. Redelivery of a batch is harmless: a change at or below the key's last
 seq is ignored, and sinks write a folder a batch, which a repeated batch overwrites.
 """
 
