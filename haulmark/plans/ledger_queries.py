@@ -111,11 +111,11 @@ def ledger_tombstone(spark, d):
 
 @query(
     "seed_pending_insert_ignore",
-    sql("SELECT user_id AS source_id, 'cdc' AS lane, 'PENDING' AS status, 0 AS attempts FROM (SELECT DISTINCT user_id + 500 AS user_id FROM events) WHERE user_id NOT IN (SELECT source_id FROM state WHERE source_id % 2 = 0)", "state"),
+    sql("SELECT user_id AS source_id, 'cdc' AS lane, 'PENDING' AS status, 0 AS attempts FROM (SELECT DISTINCT user_id + 500 AS user_id FROM events) WHERE user_id NOT IN (SELECT source_id FROM state WHERE lane = 'cdc')", "state"),
 )
 def seed_pending(spark, d):
     ids = t.table(spark, d, "events").select((F.col("user_id") + 500).alias("source_id"))
-    return ledger.seed(t.state(spark, d).where("source_id % 2 = 0"), ids, "cdc", t.as_of()).select("source_id", "lane", "status", "attempts")
+    return ledger.seed(t.state(spark, d).where("lane = 'cdc'"), ids, "cdc", t.as_of()).select("source_id", "lane", "status", "attempts")
 
 
 @query("attempts_lookup", sql("SELECT source_id, coalesce(attempts, 0) AS attempts FROM (SELECT DISTINCT user_id * 20 AS source_id FROM events) LEFT JOIN state USING (source_id)", "state"))

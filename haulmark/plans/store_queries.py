@@ -117,10 +117,14 @@ def range_reap(spark, d):
     return _plain(planning.reap_expired(_checkpoints(spark, d), t.as_of()))
 
 
-@query("plan_insert_ignore", sql("SELECT * FROM (SELECT unnest(range(1, (SELECT max(id) FROM files) + 1, 100)) AS range_start, range_start + 99 AS range_end) WHERE range_start % 300 <> 1", "files"))
+_PLAN = "SELECT unnest(range(1, (SELECT max({0}) FROM {1}) + 1, 100)) AS range_start, range_start + 99 AS range_end"
+
+
+@query("plan_insert_ignore", sql(f"SELECT * FROM ({_PLAN.format('id', 'files')}) WHERE range_start NOT IN (SELECT range_start FROM ({_PLAN.format('vec_id', 'embeddings')}))", "files"))
 def plan_insert_ignore(spark, d):
-    new = planning.ranges(access.max_id(t.files(spark, d)), 100)
-    return access.insert_ignore(new.where("range_start % 300 = 1"), new, ["range_start", "range_end"])
+    """New ranges over a plan that was made when there were as many files as there are embeddings."""
+    old = planning.ranges(access.max_id(t.table(spark, d, "embeddings"), "vec_id"), 100)
+    return access.insert_ignore(old, planning.ranges(access.max_id(t.files(spark, d)), 100), ["range_start", "range_end"])
 
 
 @query("range_events", sql(_POINTS + """SELECT 'QUEUED' AS stage, 'backfill' AS lane, '{"rangeStart":' || range_start || ',"rangeEnd":' || range_end || '}' AS detail FROM points""", "files"))
