@@ -98,11 +98,14 @@ def disclosing(found_: DataFrame) -> DataFrame:
     """spotted rows -> (doc, tie, terms): the terms to take out of each document that has any."""
     entity = lambda kind: F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
     every = F.concat(*map(entity, PATTERNS))
-    near = F.concat(
-        F.substring("text", F.greatest(F.lit(1), F.col("e.start") - CONTEXT + 1), F.least(F.col("e.start"), F.lit(CONTEXT))),
-        F.lit("\n"),
-        F.substring("text", F.col("e.end") + 1, F.lit(CONTEXT)),
-    )
+    left = F.substring("text", F.greatest(F.lit(1), F.col("e.start") - CONTEXT + 1), F.least(F.col("e.start"), F.lit(CONTEXT)))
+    right = F.substring("text", F.col("e.end") + 1, F.lit(CONTEXT))
+    # no parts of words: neither at the ends of the context nor where a mention starts or ends inside one
+    left = F.when(F.col("e.start") > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    left = F.when(F.rlike("e.value", F.lit(r"^\p{L}")), F.regexp_replace(left, r"\p{L}+$", "")).otherwise(left)
+    right = F.when(F.col("e.end") + CONTEXT < F.length("text"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    right = F.when(F.rlike("e.value", F.lit(r"\p{L}$")), F.regexp_replace(right, r"^\p{L}+", "")).otherwise(right)
+    near = F.concat(left, F.lit("\n"), right)
     mentions = staged(
         found_.select("doc", "tie", "text", F.explode(every).alias("e")).select("doc", "tie", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.lower(near).alias("near")), "mentions"
     )
@@ -113,15 +116,19 @@ def disclosing(found_: DataFrame) -> DataFrame:
     pairs = staged(again.select("doc", "tie", "entity", F.xxhash64("near").alias("context"), F.explode(words).alias("term")), "pairs")
     support = pairs.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
     together = pairs.select("term", "entity", "doc", "tie").distinct().groupBy("term", "entity").agg(F.count("*").alias("both"))
-    judged = staged(support.where(F.col("n") >= SUPPORT).join(together, ["term", "entity"]).select("term", "entity", "both"), "judged")
-    terms, named = staged(judged.select("term").distinct(), "terms"), judged.select("entity").distinct()
-    own_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}"), F.lit(0)))
-    with_term = found_.select(F.explode(own_words).alias("term")).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    with_entity = mentions.join(named, "entity", "left_semi").select("entity", "doc", "tie").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    together = support.where(F.col("n") >= SUPPORT).join(together, ["term", "entity"]).select("term", "entity", "both")
+    with_entity = mentions.join(_small(entities), "entity", "left_semi").select("entity", "doc", "tie").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    judged = staged(together.join(with_entity, "entity"), "judged")
     documents = F.lit(float(max(1, found_.select("doc").count())))
     told = F.log(F.col("both") * documents / (F.col("with_term") * F.col("with_entity")))
-    judged = judged.join(with_term, "term").join(with_entity, "entity")
-    bad = staged(judged.where(told >= ALPHA * F.log(documents / F.col("with_entity"))).select("term", "entity"), "bad")
+    bad = told >= ALPHA * F.log(documents / F.col("with_entity"))
+    # documents with the term near any mention are a lower bound of those that hold it: most terms are out by that alone
+    somewhere = mentions.select("doc", "tie", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    judged = staged(judged.join(somewhere, "term").where(bad).drop("with_term"), "open")
+    terms = staged(judged.select("term").distinct(), "terms")
+    own_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}"), F.lit(0)))
+    with_term = found_.select(F.explode(own_words).alias("term")).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    bad = staged(judged.join(with_term, "term").where(bad).select("term", "entity"), "bad")
     return mentions.join(_small(bad), "entity").groupBy("doc", "tie").agg(F.collect_set("term").alias("terms"))
 
 
