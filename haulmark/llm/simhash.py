@@ -144,8 +144,19 @@ def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray,
     return left[left != right], right[left != right]
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, tie, fp, node): tie is a hash of the text, node one of its words."""
+def remixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Other hashes of the same shingles; view 0 are the hashes themselves."""
+    if view == 0:
+        return hashes
+    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * view)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, words: int, views: int = 1) -> DataFrame:
+    """(doc_id, tie, fps, node): tie is a hash of the text, node one of its words; fps holds a fingerprint by each of so many
+    independent hashes."""
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,17 +166,19 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fps, nodes = [], []
             for text in batch.column(1):
                 w = words_of(text.as_py())
-                fps.append(fingerprint(shingle_hashes(w, words)))
+                hashes = shingle_hashes(w, words)
+                fps += [fingerprint(remixed(hashes, v)) for v in range(views)]
                 nodes.append(xxh3_64_intdigest(b" ".join(w)))
-            both = [np.array(x, np.uint64).view(np.int64) for x in (fps, nodes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, both)], ["doc_id", "tie", "fp", "node"])
+            flat, own = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, views, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, own], ["doc_id", "tie", "fps", "node"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    return rows.mapInArrow(compute, "doc_id long, tie long, fp long, node long")
+    return rows.mapInArrow(compute, "doc_id long, tie long, fps array<long>, node long")
 
 
 def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
-    """nodes(fp, node, first) -> (a, b), structs (first, node) of nodes whose fingerprints are linked."""
+    """nodes(view, fp, node, first) -> (a, b), structs (first, node) of nodes whose fingerprints of one view are linked."""
     spark = nodes.sparkSession
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +187,8 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
                 part = batch.slice(i, 2_048)
                 rows, keys = anchors(part.column(0).to_numpy().view(np.uint64), distance)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(c.take(pa.array(rows)) for c in part.columns)], ["key", "fp", "node", "first"])
+                    keys = keys.view(np.int64) | part.column(3).to_numpy().astype(np.int64)[rows] << 40
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(rows)) for c in part.columns[:3])], ["key", "fp", "node", "first"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -212,7 +226,7 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
         if held and sum(map(len, held)):
             yield from found(np.concatenate(held))
 
-    spread = nodes.select("fp", "node", "first").mapInArrow(replicate, "key long, fp long, node long, first long")
+    spread = nodes.select("fp", "node", "first", "view").mapInArrow(replicate, "key long, fp long, node long, first long")
     hot = staged(spread.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "hot")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
@@ -266,19 +280,20 @@ def _similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, ja
     return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(measure, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard: float | None = None, views: int = 1) -> DataFrame:
     """(doc_id, tie, fp, root, component_id): a row per document; root names its class, component_id is the smallest doc_id in
     it.
 
     Without ``jaccard`` a link is a Hamming distance of at most ``distance``. With it, a link also needs that Jaccard
-    similarity of the two texts' shingle sets; the candidates are then all pairs within the distance at anchors with few
-    links, and pairs with leaders at dense ones."""
+    similarity of the two texts' shingle sets; the candidates are then all pairs within the distance by any of ``views``
+    independent fingerprints at anchors with few links, and pairs with leaders at dense ones. (Fingerprints estimate the
+    similarity: of pairs with a Jaccard similarity of 0.8 one fingerprint brings about 3 of 4 within 11 bits.)"""
     own = "fp" if jaccard is None else "node"
-    prints = staged(fingerprints(docs, words), "prints")
-    nodes = staged(
-        prints.groupBy("fp", F.col(own).alias("n")).agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")).select("fp", F.col("n").alias("node"), "first"), "nodes"
-    )
-    edges = links(nodes, distance, jaccard is not None)
+    prints = staged(fingerprints(docs, words, views).withColumn("fp", F.col("fps")[0]), "prints")
+    first = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")
+    nodes = staged(prints.groupBy("fps", F.col(own).alias("node")).agg(first), "nodes")
+    seen = nodes.select(F.posexplode("fps").alias("view", "fp"), "node", "first")
+    edges = links(seen, distance, jaccard is not None)
     if jaccard is not None:
         edges = _similar(staged(edges, "candidates"), docs, nodes, words, jaccard)
     roots = components(edges).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), "root")
@@ -288,10 +303,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard:
     return joined.select("doc_id", "tie", "fp", "root", F.nullif("root.first", F.lit(NO_ID)).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, distance: int = 12, jaccard: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, distance: int = 11, jaccard: float = 0.8, views: int = 3) -> DataFrame:
     """docs with one row of each class: the one with the smallest doc_id, of several such rows the one with the least text
     hash, of rows with the same text any."""
-    found = near_duplicates(docs, words, distance, jaccard)
+    found = near_duplicates(docs, words, distance, jaccard, views)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "tie"))
     keep = staged(found.groupBy("root").agg(first.alias("k")).select("k.d", "k.tie"), "kept")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("tie"))

@@ -105,7 +105,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_with_jaccard(spark):
     data = rows()
     got = {}
-    for r in near_duplicates(spark.createDataFrame(data, SCHEMA), words=5, distance=12, jaccard=0.8).collect():
+    for r in near_duplicates(spark.createDataFrame(data, SCHEMA), words=5, distance=11, jaccard=0.8, views=3).collect():
         got.setdefault(r.component_id, set()).add(r.doc_id)
     sets = {}
     for d, t, *_ in data:
