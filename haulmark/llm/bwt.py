@@ -2,7 +2,7 @@
 
 Each round inserts one symbol of every string, from the last to the first: the suffix that starts there goes to its
 place among the suffixes so far, which the transform itself tells (a symbol's rank in it), and its common prefix with
-either neighbour is one more than the least common prefix between their tails. Every round reads and writes the
+either neighbour is the symbol's length more than the least common prefix between their tails. Every round reads and writes the
 columns once, from front to back.
 """
 
@@ -13,13 +13,20 @@ import numpy as np
 
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     """For each string, which of its starts 0 .. len - length begin a substring of that length that occurs at another
-    start too, in any of the strings. Bytes must not be 255, which never occurs in UTF-8."""
+    start too, in any of the strings."""
+    symbols = [np.frombuffer(s, np.uint8).astype(np.uint16) + np.uint16(1) for s in strings]
+    return repeated_symbols(symbols, [max(0, len(s) - length + 1) for s in strings], length, np.ones(257, np.uint16))
+
+
+def repeated_symbols(strings: list[np.ndarray], starts: list[int], length: int, weight: np.ndarray) -> list[np.ndarray]:
+    """The same over strings of symbols from 1 up, where symbol c stands for weight[c] bytes: which of each string's first
+    starts have a common prefix of ``length`` bytes with another suffix."""
     m = len(strings)
     size = np.array([len(s) for s in strings], np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    data = np.concatenate([*strings, np.zeros(0, np.uint16)])
     left = size.copy()  # symbols not yet inserted
-    bwt = np.zeros(m, np.uint8)
+    bwt = np.zeros(m, np.uint16)
     some = size > 0
     bwt[some] = data[(base[1:] - 1)[some]]
     lcp = np.zeros(m, np.uint16)
@@ -38,11 +45,11 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
         has_after = (k + 1 < n) & (bwt[after] == symbol)
         wide = np.append(lcp, np.uint16(0))
 
-        def least(lo: np.ndarray, hi: np.ndarray, wide=wide) -> np.ndarray:
+        def least(lo: np.ndarray, hi: np.ndarray, own: np.ndarray, wide=wide) -> np.ndarray:
             by = np.argsort(lo, kind="stable")
             out = np.empty(len(lo), np.uint16)
             out[by] = np.minimum.reduceat(wide, np.stack([lo[by], hi[by]], 1).ravel())[::2]
-            return np.minimum(out + 1, length).astype(np.uint16)
+            return np.minimum(out.astype(np.int64) + weight[own], length).astype(np.uint16)
 
         old = np.ones(n + len(who), bool)
         old[at] = False
@@ -57,9 +64,9 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
         suffix[at] = base[who] + start
         lcp[at] = 0
         if has_before.any():
-            lcp[at[has_before]] = least(before[has_before] + 1, pos[has_before] + 1)
+            lcp[at[has_before]] = least(before[has_before] + 1, pos[has_before] + 1, symbol[has_before])
         if has_after.any():
-            lcp[at[has_after] + 1] = least(pos[has_after] + 1, after[has_after] + 1)
+            lcp[at[has_after] + 1] = least(pos[has_after] + 1, after[has_after] + 1, symbol[has_after])
         by = np.argsort(at[more])
         who, pos = who[more][by], at[more][by].astype(np.int64)
     long = lcp >= length
@@ -67,4 +74,4 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     found = np.nonzero(long)[0]
     hit[suffix[found]] = True
     hit[suffix[found - 1]] = True
-    return [hit[base[i] : base[i] + max(0, size[i] - length + 1)] for i in range(m)]
+    return [hit[base[i] : base[i] + starts[i]] for i in range(m)]

@@ -6,12 +6,14 @@ anchor can share one. Then:
 
 1. Anchors are counted (hashes only; nothing else is shuffled for text that has no copy).
 2. Where all of an anchor's segments are the same bytes, each is a repeat as a whole.
-3. Else one copy of each different segment is fetched, and a column-wise Burrows-Wheeler construction over the
-   anchor's collection (see bwt.py) finds the starts with a common prefix of ``length`` with another suffix. Collections
-   are bounded, so its columns are kept in a worker's memory instead of in external files.
-4. Anchors with more than ``COLLECTION`` different segments don't fit one collection. Their segments are cut at fixed
-   distances from the anchor, and counted again by the bytes that all substrings of a cut share; where cuts with the
-   same such bytes still differ, their single substrings are counted by hash. This is exact for any number.
+3. Else one copy of each different segment is fetched and cut at fixed distances from the anchor into cuts of at most CUT
+   starts. All substrings of a cut share its middle bytes, so cuts are counted by these; again only cuts with company
+   remain, and cuts that are the same bytes are repeats as a whole.
+4. Over the cuts that share their middle and differ outside, a column-wise Burrows-Wheeler construction (see bwt.py)
+   finds the starts with a common prefix of ``length`` with another suffix. Collections are bounded, so its columns are
+   kept in a worker's memory instead of in external files.
+5. More than ``COLLECTION`` cuts with the same middle don't fit one collection: their single substrings are counted by
+   hash. This is exact for any number.
 
 Segments, shared bytes and substrings are told apart by 128-bit hashes.
 
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm._common import small_batches, staged, text_or_empty
-from haulmark.llm.bwt import repeated_starts
+from haulmark.llm.bwt import repeated_symbols
 
-GRAM, COLLECTION, BATCH_BYTES, CUT = 32, 256, 1 << 17, 24
+GRAM, COLLECTION, BATCH, CUT = 32, 256, 2_000, 24
 #: Starts of very long texts are taken in stretches, which bounds memory; position bits in a packed hash.
 STRETCH, PLACE = 1 << 22, 24
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
@@ -117,17 +119,17 @@ def _uniform():
 def _fetch(contents: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """contents (key, c1, c2, rep) with their bytes: rep's documents are joined once, with all that is wanted of each."""
     wanted = contents.groupBy("rep.doc", "rep.tie").agg(
-        F.collect_list(F.struct("key", "c1", "c2", "rep.at", "rep.n", "rep.anchor", "size")).alias("w")
+        F.collect_list(F.struct("key", "c1", "c2", "rep.at", "rep.n", "rep.anchor")).alias("w")
     )
     texts = keyed(docs).select("doc", "tie", "text").dropDuplicates(DOC)
-    schema = "key long, c1 long, c2 long, anchor int, size long, raw binary"
+    schema = "key long, c1 long, c2 long, anchor int, raw binary"
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
+        kinds = [*[pa.int64()] * 3, pa.int32(), pa.binary()]
         for batch in batches:
             for text, wanted_ in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py().encode()
-                rows = [(w["key"], w["c1"], w["c2"], w["anchor"], w["size"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wanted_.as_py()]
+                rows = [(w["key"], w["c1"], w["c2"], w["anchor"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wanted_.as_py()]
                 for i in range(0, len(rows), 2_000):
                     yield _table(rows[i : i + 2_000], kinds, _names(schema))
 
@@ -142,70 +144,90 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _by_transform(contents: DataFrame, length: int) -> DataFrame:
-    """(key, c1, c2, lo, hi): runs of starts that are repeats, found in collections of whole anchors."""
+def _by_transform(cuts: DataFrame, length: int) -> DataFrame:
+    """cuts (key, c1, c2, lo, hi, core, k1, k2, raw) -> (key, c1, c2, lo, hi): runs of starts that are repeats, found in collections
+    of all cuts with the same shared bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2]
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            hits = repeated_starts([r[3] for r in rows], length)
-            return _table([(*r[:3], lo, hi) for r, hit in zip(rows, hits, strict=True) for lo, hi in _runs(hit)], kinds, _names(HIT))
-
-        held: list[tuple] = []
-        size = 0
+            strings, weight, group, shared = [], [1] * 257, None, length - CUT + 1
+            for *_, lo, hi, core, k1, k2, raw in rows:
+                if (k1, k2) != group:  # the bytes that the group shares are one symbol
+                    group = (k1, k2)
+                    weight.append(shared)
+                ends = np.frombuffer(raw[lo:core] + raw[core + shared : hi + length], np.uint8).astype(np.uint16) + np.uint16(1)
+                strings.append(np.concatenate([ends[: core - lo], np.array([len(weight) - 1], np.uint16), ends[core - lo :]]))
+            hits = repeated_symbols(strings, [r[4] - r[3] + 1 for r in rows], length, np.array(weight, np.int64))
+            return _table([(*r[:3], r[3] + lo, r[3] + hi) for r, hit in zip(rows, hits, strict=True) for lo, hi in _runs(hit)], kinds, _names(HIT))
+
+        rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "c1", "c2", "raw")), strict=True):
-                if size >= BATCH_BYTES and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield solve(held)
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "c1", "c2", "lo", "hi", "core", "k1", "k2", "raw")), strict=True):
+                if len(rows) >= BATCH and row[6:8] != rows[-1][6:8]:
+                    yield solve(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield solve(rows)
 
-    return contents.select("key", "c1", "c2", "raw").repartition("key").sortWithinPartitions("key").mapInArrow(find, HIT)
+    dealt = cuts.select("key", "c1", "c2", "lo", "hi", "core", "k1", "k2", "raw").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.mapInArrow(find, HIT)
 
 
 def _by_cuts(contents: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of segments, by hashes of cuts and of single substrings."""
-    schema = "key long, c1 long, c2 long, lo int, hi int, k1 long, k2 long, s1 long, s2 long"
-
-    def cuts(width: int):
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 4]
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    get = lambda n, row=row, batch=batch: batch.column(n)[row].as_py()
-                    key, c1, c2, anchor, raw, lo_, hi_ = (get(n) for n in ("key", "c1", "c2", "anchor", "raw", "lo", "hi"))
-                    rows, start, last = [], lo_, min(hi_, len(raw) - length)
-                    while start <= last:  # cuts lie at the same distances from the anchor in every segment
-                        end = min(last, anchor - ((anchor - start) // width * width))
-                        place = (anchor - start) // width
-                        own = b"%d %d " % (key, place)
-                        shared = _hash128(own + raw[end : start + length]) if width > 1 else _hash128(raw[start : start + length])
-                        ahead, behind = anchor - place * width - end, start - (anchor - place * width - width + 1)
-                        whole = _hash128(b"%d %d " % (ahead, behind) + raw[start : end + length]) if width > 1 else shared
-                        if width > 1:  # the bytes that every full cut at this place has
-                            a, b = anchor - place * width, anchor - place * width - width + 1 + length
-                            shared = _hash128(own + raw[max(a, 0) : max(a, 0) + max(0, b - max(a, 0))])
-                        rows.append((key, c1, c2, start, end, *shared, *whole))
-                        start = end + 1
-                    for i in range(0, len(rows), 4_000):
-                        yield _table(rows[i : i + 4_000], kinds, _names(schema))
-
-        return cut
-
-    wide = contents.select("key", "c1", "c2", "anchor", "raw")
-    first = staged(wide.withColumns({"lo": F.lit(0), "hi": F.lit(1 << 30)}).mapInArrow(cuts(CUT), schema), "cuts")
+    """contents (key, c1, c2, anchor, raw) -> (key, c1, c2, lo, hi): runs of starts that are repeats."""
+    base = "key long, c1 long, c2 long, lo int, hi int, core int, k1 long, k2 long"
+    schema = base + ", s1 long, s2 long"
+
+    def table(rows: list[tuple], digests: list[bytes], names: list[str]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [()] * 6
+        cols = [pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 3, *[pa.int32()] * 3], strict=True)]
+        hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, len(names) - 6)
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(hashes[:, i]) for i in range(hashes.shape[1]))], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            rows, digests = [], []
+            for key, c1, c2, anchor, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, last = 0, len(raw) - length
+                while start <= last:  # cuts lie at the same distances from the anchor in every segment
+                    place = (anchor - start) // CUT
+                    core = anchor - place * CUT  # the last start of a full cut
+                    end = min(last, core)
+                    rows.append((key, c1, c2, start, end, core))
+                    digests.append(xxh3_128_digest(b"%d %d " % (key, place) + raw[core : core - CUT + 1 + length]))
+                    digests.append(xxh3_128_digest(b"%d %d " % (core - start, core - end) + raw[start : end + length]))
+                    start = end + 1
+            for i in range(0, len(rows), 8_000):
+                yield table(rows[i : i + 8_000], digests[2 * i : 2 * i + 16_000], _names(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            rows, digests = [], []
+            for key, c1, c2, lo, hi, core, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(key, c1, c2, at, at, core) for at in range(lo, hi + 1)]
+                digests += [xxh3_128_digest(raw[at : at + length]) for at in range(lo, hi + 1)]
+            for i in range(0, len(rows), 8_000):
+                yield table(rows[i : i + 8_000], digests[i : i + 8_000], _names(base))
+
+    wide = contents.select("key", "c1", "c2", "raw")
+    first = staged(contents.select("key", "c1", "c2", "anchor", "raw").mapInArrow(cut, schema), "cuts")
     same = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
     shared = staged(first.groupBy("k1", "k2").agg(F.count("*").alias("m"), same.alias("same")).where("m > 1"), "shared")
     joined = first.join(shared, ["k1", "k2"])
-    open_ = joined.where(~F.col("same")).select("key", "c1", "c2", "lo", "hi")
-    single = staged(open_.join(wide, ["key", "c1", "c2"]).mapInArrow(cuts(1), schema), "single")
+    open_ = staged(joined.where(~F.col("same")).select("key", "c1", "c2", "lo", "hi", "core", "k1", "k2", "m"), "open")
+    few = open_.where(F.col("m") <= COLLECTION).join(wide, ["key", "c1", "c2"])
+    many = open_.where(F.col("m") > COLLECTION).join(wide, ["key", "c1", "c2"]).select("key", "c1", "c2", "lo", "hi", "core", "raw")
+    single = staged(many.mapInArrow(each, base), "single")
     again = staged(single.groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1"), "again")
     found = single.join(again, ["k1", "k2"]).select("key", "c1", "c2", "lo", "hi")
-    return joined.where("same").select("key", "c1", "c2", "lo", "hi").union(found)
+    return joined.where("same").select("key", "c1", "c2", "lo", "hi").union(found).union(_by_transform(few, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -220,9 +242,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     contents = staged(
         mixed.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tie", "at", "n", "anchor")).alias("rep")), "contents"
     )
-    sizes = staged(contents.groupBy("key").agg(F.count("*").alias("size")), "sizes")
-    raw = staged(_fetch(contents.join(sizes, "key"), docs, length), "raw")
-    hits = _by_transform(raw.where(F.col("size") <= COLLECTION), length).union(_by_cuts(raw.where(F.col("size") > COLLECTION), length))
+    hits = _by_cuts(staged(_fetch(contents, docs, length), "raw"), length)
     whole = contents.where("copies > 1").select("key", "c1", "c2", F.lit(0).alias("lo"), (F.col("rep.n") - 1).alias("hi"))
     hits = staged(whole.union(hits).groupBy("key", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "hits")
     found = mixed.join(hits, ["key", "c1", "c2"]).select("doc", "tie", "at", F.explode("runs").alias("r"))
