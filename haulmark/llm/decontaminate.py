@@ -2,13 +2,13 @@
 
 1. Texts are reduced to the places of words that the benchmark has (no other word can match it), written once.
 2. Document frequencies of these words over all passages of PASSAGE words give TF-IDF weights; words in more than
-   MOST of the passages weigh nothing.
-3. A randomised SVD of the passage-by-word matrix A, whose rows stay where they are: with a random Q of RANK columns,
-   each task adds up its part of A'(A Q); the sum is orthonormalised and A'(A Q) taken again, and the eigenvectors of
-   Q'A'A Q turn Q into the right singular vectors. Sums are of a words-by-RANK matrix, which depends on the benchmark
-   and not on the corpus.
+   MOST of the passages (and COMMON passages) weigh nothing.
+3. A randomised SVD of the passage-by-word matrix A, whose rows stay where they are: with a random orthonormal Q of RANK
+   columns, each task adds up its part of A'(A Q) = G in one pass; with the Cholesky factor L of Q'G, the singular
+   vectors of G L^-T are A's right singular vectors (the single-pass, Nystroem form). The sum is a words-by-RANK matrix,
+   which depends on the benchmark and not on the corpus.
 4. Every window of PASSAGE words, at every half passage, and every item are projected; pairs with a cosine of at least
-   COSINE are candidates.
+   COSINE are candidates, unless too few of the item's weighed words lie around the window for a leak (an exact bound).
 5. A candidate is a leak if the longest common subsequence of the item's words and the window's surroundings holds the
    share LCS of the item, or the share LCS_ANSWER and also the item's answer (its last sentence) in order.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from haulmark.llm._common import small_batches, staged, text_or_empty
 
-PASSAGE, RANK, COSINE, LCS, LCS_ANSWER, MOST, SEED = 64, 96, 0.35, 0.7, 0.55, 0.1, 29
-BLOCK_ITEMS, BLOCK_CHARS, TERMS_A_ROW, FAN_IN = 5_000, 4_000_000, 512, 32
+PASSAGE, RANK, COSINE, LCS, LCS_ANSWER, MOST, SEED = 64, 160, 0.35, 0.7, 0.55, 0.02, 29
+#: Fewer passages than this are too few to call a word common.
+COMMON = 50
+BLOCK_ITEMS, BLOCK_CHARS, TERMS_A_ROW, FAN_IN = 5_000, 4_000_000, 16, 32
 #: Up to so many leaking ids are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
 WORD = re.compile(r"\w+")
@@ -90,7 +93,7 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
             sizes, places, words = [], [], []
             for text in batch.column(1):
                 found = words_of(text.as_py())
-                own = np.fromiter((number.get(w, -1) for w in found), np.int32, len(found))
+                own = np.fromiter(map(number.get, found, repeat(-1)), np.int32, len(found))
                 at = np.nonzero(own >= 0)[0]
                 sizes.append(len(found))
                 places.append(at.astype(np.int32).tobytes())
@@ -100,14 +103,17 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(reduce, "doc_id long, n_words long, places binary, words binary")
 
 
-def _entries(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's documents cut into stretches of span words: (stretch, word, count) of each that occurs, by stretch, and
-    the first stretch of each document."""
+def _entries(batch: pa.RecordBatch, span: int, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's documents cut into stretches of span words: (stretch, word, count) of each that occurs (and weighs
+    something), by stretch, and the first stretch of each document."""
     sizes = batch.column("n_words").to_numpy()
     base = np.concatenate([[0], np.cumsum(-(-sizes // span))])
     places, words = ([np.frombuffer(x.as_py(), np.int32) for x in batch.column(n)] for n in ("places", "words"))
     stretch = np.concatenate([p // span + b for p, b in zip(places, base[:-1], strict=True)] or [np.zeros(0, np.int64)])
     word = np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int64)
+    if idf is not None:
+        keep = idf[word] > 0
+        stretch, word = stretch[keep], word[keep]
     pair, count = np.unique(stretch * (1 << 32) + word, return_counts=True)
     return pair >> 32, pair & ((1 << 32) - 1), count, base
 
@@ -131,7 +137,7 @@ def frequencies(coded: DataFrame, terms: int) -> tuple[np.ndarray, int]:
 
 def weights(df: np.ndarray, passages: int) -> np.ndarray:
     w = np.log((1 + passages) / (1 + df))
-    w[df > max(1, MOST * passages)] = 0
+    w[df > max(COMMON, MOST * passages)] = 0
     return w.astype(np.float32)
 
 
@@ -145,9 +151,8 @@ def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def _weighed(batch: pa.RecordBatch, span: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    stretch, word, count, base = _entries(batch, span)
-    keep = idf[word] > 0
-    return stretch[keep], word[keep], (count[keep] * idf[word[keep]]).astype(np.float32), base
+    stretch, word, count, base = _entries(batch, span, idf)
+    return stretch, word, (count * idf[word]).astype(np.float32), base
 
 
 def gram_times(coded: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -163,7 +168,9 @@ def gram_times(coded: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
             stretch, word, value, base = _weighed(batch, PASSAGE, idf)
             norm = np.sqrt(np.bincount(stretch, value**2, minlength=base[-1]))
             value = value / norm[stretch].astype(np.float32)
-            z = _sums(stretch, q32[word] * value[:, None], base[-1])
+            rows = q32[word]
+            rows *= value[:, None]
+            z = _sums(stretch, rows, base[-1])
             by = np.argsort(word, kind="stable")
             word, value, stretch = word[by], value[by], stretch[by]
             first = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1]) if len(word) else np.zeros(0, int)
@@ -200,11 +207,14 @@ def gram_times(coded: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
 def right_vectors(coded: DataFrame, idf: np.ndarray) -> np.ndarray:
     """The leading right singular vectors [word, RANK or fewer]."""
     rank = min(RANK, len(idf))
-    q = np.linalg.qr(gram_times(coded, idf, np.random.default_rng(SEED).standard_normal((len(idf), rank))))[0]
-    again = gram_times(coded, idf, q)
-    value, turn = np.linalg.eigh((q.T @ again + again.T @ q) / 2)
-    keep = value > 1e-9 * max(value.max(initial=0), 1e-9)
-    return (q @ turn[:, keep][:, ::-1]).astype(np.float32)
+    omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(idf), rank)))[0]
+    g = gram_times(coded, idf, omega)
+    shift = 1e-7 * max(np.linalg.norm(g), 1e-9)  # keeps the small matrix positive definite
+    g += shift * omega
+    small = omega.T @ g
+    half = np.linalg.solve(np.linalg.cholesky((small + small.T) / 2), g.T).T
+    u, value, _ = np.linalg.svd(half, full_matrices=False)
+    return u[:, value**2 - shift > 1e-9 * max(value[0] ** 2, 1e-9)].astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -214,30 +224,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def search(coded: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray) -> DataFrame:
     half = PASSAGE // 2
-    rows = np.zeros((len(items.ids), v.shape[1]), np.float32)
+    latent = np.zeros((len(items.ids), v.shape[1]), np.float32)
     for i, words in enumerate(items.words):
         if words:
-            rows[i] = (v[words] * idf[words, None]).sum(0)
-    known = _unit(rows)
-    longest = max(map(len, items.words), default=0)
+            latent[i] = (v[words] * idf[words, None]).sum(0)
+    known = _unit(latent)
+    # a common subsequence of that share needs so many of an item's weighed words near the window
+    weighed = np.zeros((len(items.ids), len(idf)), bool)
+    for i, words in enumerate(items.words):
+        weighed[i, words] = True
+    weighed[:, idf <= 0] = False
+    least = np.array([np.ceil(LCS_ANSWER * len(w) - 1e-9) - sum(idf[x] <= 0 for x in w) for w in items.words])
+    repeats = np.array([max(np.bincount(w)) if w else 1 for w in items.words])
+    least = np.ceil(least / repeats)
+    sizes = np.array([len(w) for w in items.words])
+    longest = max(sizes, default=0)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LEAK.split(", ")]
         kinds = [*[pa.int64()] * 4, *[pa.float64()] * 2, pa.bool_()]
         for batch in batches:
             stretch, word, value, base = _weighed(batch, half, idf)
-            z = _sums(stretch, v[word] * value[:, None], base[-1])
+            rows = v[word]
+            rows *= value[:, None]
+            z = _sums(stretch, rows, base[-1])
             doc = np.repeat(np.arange(batch.num_rows), np.diff(base))
             both = z.copy()
             same = np.nonzero(doc[:-1] == doc[1:])[0]
             both[same] += z[same + 1]
             best: dict[tuple, tuple] = {}
+            first = np.searchsorted(stretch, np.arange(base[-1] + 1))
+
+            def enough(w: np.ndarray, item: np.ndarray, first=first, base=base, doc=doc, word=word) -> np.ndarray:
+                """Whether the words around a window hold as many different words of the item as a leak needs."""
+                wide = 1 + -(-np.maximum(half, sizes[item]) // half)
+                lo = np.maximum(w - wide + 1, base[:-1][doc[w]])
+                hi = np.minimum(w + 1 + wide, base[1:][doc[w]])
+                n = first[hi] - first[lo]
+                pair = np.repeat(np.arange(len(w)), n)
+                at = np.repeat(first[lo] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hit = weighed[item[pair], word[at]]
+                key = np.unique(pair[hit] * len(idf) + word[at[hit]]) // len(idf)
+                return np.bincount(key, minlength=len(w)) >= least[item]
+
             ids = batch.column("doc_id").to_pylist()
             text: tuple = (None, None, None)
-            for a in range(0, len(both), 20_000):
-                cosine = _unit(both[a : a + 20_000]) @ known.T
+            for a in range(0, len(both), 4_000):
+                cosine = _unit(both[a : a + 4_000]) @ known.T
                 w, item = np.nonzero(cosine >= COSINE)
-                for i, j, c in zip((w + a).tolist(), item.tolist(), cosine[w, item].tolist(), strict=True):
+                c = cosine[w, item]
+                near_ = enough(w + a, item)
+                for i, j, c in zip((w[near_] + a).tolist(), item[near_].tolist(), c[near_].tolist(), strict=True):
                     d = int(doc[i])
                     if text[0] != d:
                         text = (d, *(np.frombuffer(batch.column(n)[d].as_py(), np.int32) for n in ("places", "words")))
