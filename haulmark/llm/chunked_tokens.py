@@ -61,8 +61,8 @@ class ChunkEncoder:
         self.letters, self.model = byte_letters(), self.tokenizer.model
         self.pieces: dict[str, bytes] = {"": b""}
         self.old_pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes | None] = {}
-        self.old_parts: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
@@ -106,21 +106,24 @@ class ChunkEncoder:
                 call, chars = [], 0
         return out
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, as they stand in a text."""
+    def _learn(self, chunks: list[str], parts: dict[str, bytes]) -> list[bytes]:
+        """The ids of chunks, as they stand in a text; parts: what is known of parts."""
         if len(self.pieces) > MEMO:
             self.old_pieces, self.pieces = self.pieces, {"": b""}
         known, old, word = self.pieces, self.old_pieces, WORD.fullmatch
-        cut = {c: INSIDE.split(c) for c in chunks if not word(c)}
-        need = set(chunks).difference(cut).union(*cut.values()).difference(known)
-        have = need.intersection(old)
-        need -= have
+        cut = {c: INSIDE.split(c) if not word(c) else (c,) for c in chunks}
+        need = set().union(*cut.values()).difference(known)
+        new = {p: old[p] for p in need if p in old}
+        lead = self.leading
+        for p in need:  # a word may be known as a whole part
+            if lead == (p[:1] == " ") and (x := parts.get(p[1:] if lead else p)) is not None:
+                new[p] = x
+        need = need.difference(new)
         words = [p for p in need if word(p)]
-        new = {p: old[p] for p in have}
-        new |= zip(words, self._words(words), strict=True)
+        new.update(zip(words, self._words(words), strict=True))
         new |= self._library(list(need.difference(words)))
         known.update(new)
-        found = [b"".join([known[p] for p in cut[c]]) if c in cut else known[c] for c in chunks]
+        found = [known[cut[c][0]] if len(cut[c]) == 1 else b"".join([known[p] for p in cut[c]]) for c in chunks]
         for p in [p for p in new if len(p) > MEMO_CHARS]:
             del known[p]
         return found
@@ -132,36 +135,40 @@ class ChunkEncoder:
         if lead:
             first = [p.pop(0) if p else "" for p in parts]
             plain = [p and (not x or not f or ENDS_VISIBLE.fullmatch(f) is not None) and (f != "" or not x) for p, f, x in zip(plain, first, parts, strict=True)]
-        memo, long = self.parts, []
-        if new := set().union(*parts).difference(memo):
-            if len(memo) > MEMO:
-                self.old_parts, self.parts = memo, {}
-                memo, new = self.parts, set().union(*parts)
-            old = self.old_parts
-            memo.update((c, old[c]) for c in new if c in old)
-            new = new.difference(memo)
-            good = [c for c in new if not lead or ENDS_VISIBLE.fullmatch(c)]
-            memo.update(dict.fromkeys(new))
-            memo.update(zip(good, self._learn([" " + c for c in good] if lead else good), strict=True))
-            long = [c for c in new if len(c) > MEMO_CHARS]
+        distinct = set().union(*parts)
+        if len(self.parts) > MEMO:
+            self.old_parts, self.parts = self.parts, {}
+        memo, old, word = self.parts, self.old_parts, WORD.fullmatch
+        own = {c: memo[c] for c in distinct if c in memo}  # small, so that looking up a text's parts stays in cache
+        new = distinct.difference(own)
+        fresh = {c: old[c] for c in new if c in old}
+        new = new.difference(fresh)
+        words = [c for c in new if word(c)]
+        fresh.update(zip(words, self._words([" " + c for c in words] if lead else words), strict=True))
+        own.update(fresh)
+        good = [c for c in new.difference(words) if not lead or ENDS_VISIBLE.fullmatch(c)]
+        others = dict(zip(good, self._learn([" " + c for c in good] if lead else good, own), strict=True))
+        own.update(others)
+        memo.update(fresh)
+        memo.update(others)
+        for c in [c for c in new if len(c) > MEMO_CHARS]:
+            memo.pop(c, None)
         out: list[bytes] = []
-        heads = iter(self._learn([f for f, p in zip(first, plain, strict=True) if p])) if lead else iter(())
-        for text, own, whole in zip(texts, parts, plain, strict=True):
+        heads = iter(self._learn([f for f, p in zip(first, plain, strict=True) if p], own)) if lead else iter(())
+        for text, mine, whole in zip(texts, parts, plain, strict=True):
             head = next(heads) if lead and whole else b""
             try:
-                found = b"".join(map(memo.__getitem__, own)) if whole else None
-            except TypeError:  # a part that does not start and end with a visible character
+                found = b"".join(map(own.__getitem__, mine)) if whole else None
+            except KeyError:  # a part that does not start and end with a visible character
                 found = None
-            out.append(b"".join(self._learn(self.split(text))) if found is None else head + found)
-        for c in long:
-            del memo[c]
+            out.append(b"".join(self._learn(self.split(text), own)) if found is None else head + found)
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
 
-def encoded(enc: ChunkEncoder, texts: list[str], chars: int = 1 << 20):
+def encoded(enc: ChunkEncoder, texts: list[str], chars: int = CALL_CHARS):
     """Each text's ids in turn, encoded some at a time."""
     held, size = [], 0
     for text in texts:
