@@ -8,7 +8,9 @@ that anchor. Each fingerprint is therefore replicated to every anchor within tha
 compared only with those at the same anchor. The search is exact.
 
 Equal fingerprints are one row from the start. Anchors that hold more than ``BLOCK`` fingerprints are cut into blocks,
-every two of which meet in a task of their own. From one task, a dense set of links leaves as a spanning star.
+every two of which meet in a task of their own. From one task, a dense set of links leaves as a spanning star. Where a
+link also needs a Jaccard similarity, which no star can stand for, the rows of dense sets are gone over again in rounds,
+nearest first, until every pair within the distance is checked, ruled out or in one component already.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; fewer words than a
 shingle's give one shingle of them all; a null doc_id never names a component unless all its documents have none;
@@ -17,7 +19,7 @@ repeated rows fall into one component; an empty table gives no rows. Only doc_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +31,9 @@ from haulmark.llm._common import small_batches, staged, text_or_empty
 from haulmark.llm.components import components
 
 BLOCK = 1_024
+#: Rows with more links than this at one anchor are left to the rounds; a first round takes so many links a row and
+#: anchor, each further one WIDER times as many.
+CROWD, NEAREST, WIDER = 4, 2, 32
 NO_ID = (1 << 63) - 1
 #: Up to so many hot anchors or documents (16 bytes each) are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -107,7 +112,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one anchor's fingerprints. Few links: each of them. Dense sets: a star for each component, or with
-    ``leaders`` each member with the first leader near it, leaders being further apart than the distance."""
+    ``leaders`` (no query asks for it: it loses links that a further condition splits) each member with the first leader
+    near it, leaders being further apart than the distance."""
     n, left, right = len(fp), [], []
     for i in range(0, n, 256):
         near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, i:]) <= distance
@@ -143,6 +149,63 @@ def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray,
     return left[left != right], right[left != right]
 
 
+def near_in(fp: np.ndarray, distance: int, ok: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of one anchor's fingerprints within the distance, of those that are ok."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(fp), 256):
+        a, b = np.nonzero(np.bitwise_count(fp[i : i + 256, None] ^ fp[None, i:]) <= distance)
+        keep = a < b
+        a, b = a[keep] + i, b[keep] + i
+        if ok:
+            keep = ok(a, b)
+            a, b = a[keep], b[keep]
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links_or_crowd(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one anchor's fingerprints: each link, but of those between two rows with over CROWD links each only
+    the loops of the rows."""
+    a, b = near_in(fp, distance)
+    crowd = np.bincount(np.concatenate([a, b]), minlength=len(fp)) > CROWD
+    keep, loops = ~(crowd[a] & crowd[b]), np.nonzero(crowd)[0]
+    return np.concatenate([a[keep], loops]), np.concatenate([b[keep], loops])
+
+
+def nearest_in(fp: np.ndarray, distance: int, jaccard: float, most: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one anchor's fingerprints, with more[row] the row's component and sketch(): the ``most`` nearest links
+    of each row to other components that can have the similarity; a loop for each row with a link that is left out."""
+    root, size, bits = more[:, 0], more[:, 1], more[:, 2:].view(np.uint64)
+    apart = lambda a, b: np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+
+    def ok(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sets with that similarity differ in at most (1 - j) / (1 + j) of the sum of their sizes; sketches differ in no
+        more bits, nor the sizes by more."""
+        out = root[a] != root[b]
+        a, b = a[out], b[out]
+        least = np.maximum(apart(a, b), np.abs(size[a] - size[b]))
+        out[out] = least <= (1 - jaccard) / (1 + jaccard) * (size[a] + size[b]) + 1e-6
+        return out
+
+    a, b = near_in(fp, distance, ok)
+    share = apart(a, b) / np.maximum(1, size[a] + size[b])
+    row = np.concatenate([a, b])
+    order = np.lexsort([np.concatenate([b, a]), np.concatenate([share, share]), row])
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    now = np.minimum(rank[: len(a)], rank[len(a) :]) < most
+    loops = np.unique(np.concatenate([a[~now], b[~now]]))
+    return np.concatenate([a[now], loops]), np.concatenate([b[now], loops])
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Of the set of shingles its size and 256 bits, each whether an odd number of its shingles falls there, as 64-bit integers."""
+    own = np.unique(hashes)
+    odd = np.bincount((remixed(own, 7) >> np.uint64(56)).astype(np.int64), minlength=256) % 2
+    return [len(own), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()]
+
+
 def remixed(hashes: np.ndarray, view: int) -> np.ndarray:
     """Other hashes of the same shingles; view 0 are the hashes themselves."""
     if view == 0:
@@ -153,32 +216,37 @@ def remixed(hashes: np.ndarray, view: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, words: int, views: int = 1) -> DataFrame:
-    """(doc_id, tie, fps, node): tie is a hash of the text, node one of its words; fps holds a fingerprint by each of so many
-    independent hashes."""
+def fingerprints(docs: DataFrame, words: int, views: int = 1, sketches: bool = False) -> DataFrame:
+    """(doc_id, tie, fps, node, sketch): tie is a hash of the text, node one of its words; fps holds a fingerprint by each of so
+    many independent hashes; sketch is empty unless asked for."""
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            fps, nodes = [], []
+            fps, nodes, own_sketches = [], [], []
             for text in batch.column(1):
                 w = words_of(text.as_py())
                 hashes = shingle_hashes(w, words)
                 fps += [fingerprint(remixed(hashes, v)) for v in range(views)]
                 nodes.append(xxh3_64_intdigest(b" ".join(w)))
+                own_sketches.append(sketch(hashes) if sketches else [])
             flat, own = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, views, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, own], ["doc_id", "tie", "fps", "node"])
+            cols = [batch.column(0), batch.column(2), lists, own, pa.array(own_sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "fps", "node", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    return rows.mapInArrow(compute, "doc_id long, tie long, fps array<long>, node long")
+    return rows.mapInArrow(compute, "doc_id long, tie long, fps array<long>, node long, sketch array<long>")
 
 
-def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
-    """nodes(view, fp, node, first) -> (a, b), structs (first, node) of nodes whose fingerprints of one view are linked."""
+def links(nodes: DataFrame, distance: int, inside: Callable | None = None, few: int = 16, more: tuple[str, ...] = ()) -> DataFrame:
+    """nodes(view, fp, node, first) -> (a, b), structs (first, node) of nodes whose fingerprints of one view are linked, the
+    smaller first. At anchors of over ``few`` rows ``inside`` has its say, from the fingerprints and the columns ``more``;
+    at the others each link counts."""
     spark = nodes.sparkSession
+    inside = inside or (lambda fp, _: links_in(fp, distance, False))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +255,7 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
                 rows, keys = anchors(part.column(0).to_numpy().view(np.uint64), distance)
                 if len(rows):
                     keys = keys.view(np.int64) | part.column(3).to_numpy().astype(np.int64)[rows] << 40
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(rows)) for c in part.columns[:3])], ["key", "fp", "node", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(rows)) for c in [*part.columns[:3], *part.columns[4:]])], ["key", "fp", "node", "first", *more])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -195,15 +263,16 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
             bounds = np.concatenate([[0], cut, [len(rows)]])
             size = np.diff(bounds)
             left, right = [], []
-            small = np.repeat(size <= 16, size)
+            small = np.repeat(size <= few, size)
             fp = rows[:, 2].view(np.uint64)
             run = np.repeat(np.arange(len(size)), size)
-            for shift in range(1, min(16, int(size.max(initial=0)))):
+            for shift in range(1, min(few, int(size.max(initial=0)))):
                 hit = np.nonzero(small[:-shift] & (run[:-shift] == run[shift:]) & (np.bitwise_count(fp[:-shift] ^ fp[shift:]) <= distance))[0]
                 left.append(hit)
                 right.append(hit + shift)
-            for r in np.nonzero(size > 16)[0]:
-                a, b = links_in(fp[bounds[r] : bounds[r + 1]], distance, leaders)
+            for r in np.nonzero(size > few)[0]:
+                own = slice(bounds[r], bounds[r + 1])
+                a, b = inside(fp[own], rows[own, 5:])
                 left.append(a + bounds[r])
                 right.append(b + bounds[r])
             if left and len(a := np.concatenate(left)):
@@ -225,7 +294,8 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
         if held and sum(map(len, held)):
             yield from found(np.concatenate(held))
 
-    spread = nodes.select("fp", "node", "first", "view").mapInArrow(replicate, "key long, fp long, node long, first long")
+    kind = "".join(f", {c} long" for c in more)
+    spread = nodes.select("fp", "node", "first", "view", *more).mapInArrow(replicate, f"key long, fp long, node long, first long{kind}")
     hot = staged(spread.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "hot")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
@@ -234,7 +304,7 @@ def links(nodes: DataFrame, distance: int, leaders: bool = False) -> DataFrame:
     dealt = (
         spread.join(hot, "key", "left")
         .withColumn("k", F.coalesce("k", F.lit(1)))
-        .select("key", F.explode(cells).alias("cell"), "fp", "node", "first")
+        .select("key", F.explode(cells).alias("cell"), "fp", "node", "first", *more)
         .withColumn("cell", F.col("cell").cast("long"))
     )
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -279,23 +349,47 @@ def _similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, ja
     return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(measure, f"a {kind}, b {kind}")
 
 
+def _checked_links(nodes: DataFrame, docs: DataFrame, words: int, distance: int, jaccard: float) -> DataFrame:
+    """Links (a, b) within the distance by any view and with that Jaccard similarity: enough of them to connect what all of
+    them connect. nodes has fps, node, first, sketch.
+
+    A first pass takes all links but those between two crowded rows of an anchor. The crowded rows are then compared at all
+    their anchors again, in rounds: only links to other components count, of those only the ones that sizes and sketches
+    allow (an exact bound), nearest first. The rounds end when no such link is left out."""
+    by_view = lambda df, *more: df.select(F.posexplode("fps").alias("view", "fp"), "node", "first", *more)
+    found = staged(links(by_view(nodes), distance, lambda fp, _: links_or_crowd(fp, distance)), "candidates")
+    tested = found.where("a <> b")
+    good = staged(_similar(tested, docs, nodes, words, jaccard), "links")
+    more, most = ("root", *(f"s{i}" for i in range(5))), NEAREST
+    while crowd := found.where("a = b").count():
+        own = found.where("a = b").select("a.first", "a.node")
+        own = nodes.join(F.broadcast(own) if crowd <= BROADCAST_ROWS else own, ["first", "node"], "left_semi")
+        roots = components(good).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), F.col("root.node").alias("root"))
+        own = own.join(roots, ["first", "node"], "left").withColumns({"root": F.coalesce("root", "node"), **{f"s{i}": F.col("sketch")[i] for i in range(5)}})
+        found = links(by_view(staged(own, "crowd"), *more), distance, lambda fp, own_, n=most: nearest_in(fp, distance, jaccard, n, own_), 1, more)
+        found = staged(found, "candidates")
+        fresh = staged(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        good = staged(good.union(_similar(fresh, docs, nodes, words, jaccard)), "links")
+        tested, most = tested.union(fresh), most * WIDER
+    return good
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, jaccard: float | None = None, views: int = 1) -> DataFrame:
     """(doc_id, tie, fp, root, component_id): a row per document; root names its class, component_id is the smallest doc_id in
     it.
 
     Without ``jaccard`` a link is a Hamming distance of at most ``distance``. With it, a link also needs that Jaccard
     similarity of the two texts' shingle sets; the candidates are then all pairs within the distance by any of ``views``
-    independent fingerprints at anchors with few links, and pairs of each text with one leader an anchor at dense
-    ones; sorted rows make the same texts lead at many anchors. (Fingerprints estimate the
-    similarity: of pairs with a Jaccard similarity of 0.8 one fingerprint brings about 3 of 4 within 11 bits.)"""
+    independent fingerprints. (Fingerprints estimate the similarity: of pairs with a Jaccard similarity of 0.8 one
+    fingerprint brings about 3 of 4 within 11 bits.)"""
     own = "fp" if jaccard is None else "node"
-    prints = staged(fingerprints(docs, words, views).withColumn("fp", F.col("fps")[0]), "prints")
+    prints = staged(fingerprints(docs, words, views, jaccard is not None).withColumn("fp", F.col("fps")[0]), "prints")
     first = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")
-    nodes = staged(prints.groupBy("fps", F.col(own).alias("node")).agg(first), "nodes")
-    seen = nodes.select(F.posexplode("fps").alias("view", "fp"), "node", "first")
-    edges = links(seen, distance, jaccard is not None)
-    if jaccard is not None:
-        edges = _similar(staged(edges, "candidates"), docs, nodes, words, jaccard)
+    nodes = staged(prints.groupBy("fps", "sketch", F.col(own).alias("node")).agg(first), "nodes")
+    if jaccard is None:
+        edges = links(nodes.select(F.posexplode("fps").alias("view", "fp"), "node", "first"), distance)
+    else:
+        edges = _checked_links(nodes, docs, words, distance, jaccard)
     roots = components(edges).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), "root")
     own_root = F.coalesce("root", F.struct("first", "node"))
     classes = staged(nodes.select("node", "first").join(roots, ["node", "first"], "left").select(F.col("node").alias("key"), own_root.alias("root")), "classes")

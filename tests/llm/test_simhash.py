@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from haulmark.llm.components import components
-from haulmark.llm.simhash import anchors, layout, links_in, near_duplicates, patterns
+from haulmark.llm.simhash import anchors, layout, links_in, near_duplicates, nearest_in, patterns, remixed, sketch
 
 SCHEMA = "doc_id long, text string, fp string, key string"
 
@@ -114,3 +114,32 @@ def test_near_duplicates_with_jaccard(spark):
     for group in got.values():  # each member is like some other one
         for d in group if len(group) > 1 else ():
             assert any(len(x & y) >= 0.8 * len(x | y) for x in sets[d] for e in group - {d} for y in sets[e]) or d is None
+
+
+def test_star_of_near_copies_whose_centre_has_the_largest_id(spark):
+    rng = random.Random(12)
+    base = [f"word{rng.randrange(5_000)}" for _ in range(204)]
+    data = []
+    for i in range(1_000):  # each like the centre, hardly any two like each other
+        words = list(base)
+        for p in rng.sample(range(5, 199, 6), 3):
+            words[p] = f"new{i}x{p}"
+        data.append((i, " ".join(words), "", ""))
+    data += [(5_000, " ".join(base), "", ""), (6_000, "a text of its own", "", "")]
+    got = near_duplicates(spark.createDataFrame(data, SCHEMA), words=5, distance=11, jaccard=0.8, views=3).collect()
+    assert {r.component_id for r in got} == {0, 6_000} and len(got) == 1_002
+
+
+def test_nearest_links_leave_nothing_unsaid():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([np.arange(100, dtype=np.uint64), rng.integers(1_000, 9_000, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(80)]
+    hashes = [remixed(x + np.uint64(1), 3) for x in sets]
+    more = np.array([[i % 70, *sketch(h)] for i, h in enumerate(hashes)], np.int64)
+    fp = rng.integers(0, 2, 80).astype(np.uint64)
+    share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    want = {(i, j) for j in range(80) for i in range(j) if i % 70 != j % 70 and share(i, j) >= 0.8}
+    a, b = nearest_in(fp, 1, 0.8, 2, more)
+    links_, loops = set(zip(a[a < b].tolist(), b[a < b].tolist(), strict=True)), set(a[a == b].tolist())
+    assert all(x in links_ or set(x) <= loops for x in want) and len(want - links_) > 10
+    a, b = nearest_in(fp, 1, 0.8, 80, more)
+    assert want <= set(zip(a.tolist(), b.tolist(), strict=True)) and (a < b).all() and len(a) < 80 * 79 / 2
