@@ -2,7 +2,8 @@
 
 1. Texts are reduced to the places of words that the benchmark has (no other word can match it), written once.
 2. Document frequencies of these words over all passages of PASSAGE words give TF-IDF weights; words in more than
-   MOST of the passages (and COMMON passages) weigh nothing.
+   MOST of the passages (and COMMON passages) weigh nothing, but the rarer half of each item's words always weighs
+   something: an item that itself stands in so many passages is still found.
 3. A randomised SVD of the passage-by-word matrix A, whose rows stay where they are: with a random orthonormal Q of RANK
    columns, each task adds up its part of A'(A Q) = G in one pass; with the Cholesky factor L of Q'G, the singular
    vectors of G L^-T are A's right singular vectors (the single-pass, Nystroem form). The sum is a words-by-RANK matrix,
@@ -135,9 +136,16 @@ def frequencies(coded: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return df, int(passages)
 
 
-def weights(df: np.ndarray, passages: int) -> np.ndarray:
+def weights(df: np.ndarray, passages: int, items: Items | None = None) -> np.ndarray:
+    """Of common words nothing, but of those among the rarer half of an item's words what the commonest other words weigh."""
     w = np.log((1 + passages) / (1 + df))
-    w[df > max(COMMON, MOST * passages)] = 0
+    most = max(COMMON, MOST * passages)
+    common = df > most
+    w[common] = 0
+    for words in items.words if items else ():
+        own = np.unique(words).astype(np.int64)
+        rarer = own[np.argsort(df[own], kind="stable")][: -(-len(own) // 2)]
+        w[rarer[common[rarer]]] = np.log((1 + passages) / (1 + most))
     return w.astype(np.float32)
 
 
@@ -320,7 +328,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not items.number:
             continue
         coded = staged(encode(docs, items), "coded")
-        idf = weights(*frequencies(coded, len(items.number)))
+        idf = weights(*frequencies(coded, len(items.number)), items)
         found = found.unionByName(search(coded, items, idf, right_vectors(coded, idf)))
     best = F.max_by(F.struct("first_word", "last_word", "cosine", "lcs", "answer"), F.struct("lcs", -F.col("first_word"), "cosine")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

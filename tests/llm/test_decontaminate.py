@@ -92,6 +92,21 @@ def test_singular_vectors_match_a_dense_svd(spark, monkeypatch):
     assert np.linalg.norm(want.T @ v, 2) > 0.99 and np.linalg.svd(want.T @ v)[1].min() > 0.97
 
 
+def test_an_item_in_a_third_of_all_documents(spark):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(900)]
+    bench = [(i, ". ".join(" ".join(rng.sample(vocab, 12)) for _ in range(2))) for i in range(30)]
+    plain = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    docs = [(i, plain(150)) for i in range(400)]
+    docs += [(1_000 + i, bench[0][1]) for i in range(100)]  # copies
+    docs += [(2_000 + i, f"{plain(rng.randrange(60))} {bench[0][1]} {plain(rng.randrange(60))}") for i in range(100)]  # quoted
+    docs += [(3_000 + i, f"{plain(40)} {bench[i][1]} {plain(40)}") for i in range(1, 30)]
+    rows = leaks(spark.createDataFrame([(*x, None, "x") for x in docs], DOCS), spark.createDataFrame([(*x, None) for x in bench], BENCH)).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    assert {d for d, i in found if i == 0} == {*range(1_000, 1_100), *range(2_000, 2_100)}
+    assert {(3_000 + i, i) for i in range(1, 30)} <= found
+
+
 @pytest.mark.parametrize("which", [0, 1, 2])
 def test_empty_tables(spark, which):
     docs = spark.createDataFrame([(1, "some words", None, "")] if which == 1 else [], DOCS)
