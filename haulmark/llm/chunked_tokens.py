@@ -8,28 +8,31 @@ against whole-text encoding. The places, for the two kinds of boundary:
 * ``leading``: one space between two visible characters starts the next word's token; other white space stays inside a
   chunk.
 
-Inside a chunk, a letter next to ASCII punctuation other than an apostrophe ends or starts a token, and so does either
-side of one line feed between visible ASCII characters. A piece that is a run of Latin letters is one token of the
-pre-tokenizer and goes straight to the library's model. Everything else is left to the whole tokenizer, which gets the
-pieces that are new many at a time, between separators that no token can span. Both memos are bounded.
+Texts are cut and their chunks numbered by Arrow, so Python sees only the distinct chunks of a call. Inside a chunk, a
+letter next to ASCII punctuation other than an apostrophe ends or starts a token, and so does either side of one line
+feed between visible ASCII characters. A piece that is a run of Latin letters is one token of the pre-tokenizer and goes
+straight to the library's model. Everything else is left to the whole tokenizer, which gets the pieces that are new many
+at a time, between separators that no token can span. A text that holds an added token of the tokenizer (such as an end
+mark) goes to the library whole. Both memos are bounded.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-BIG, SPACE = sys.byteorder == "big", chr(256 + 32)
+SPACE = chr(256 + 32)
 #: A memo that is full becomes the old one, which is still asked; so each holds at most twice that and one call's.
-MEMO, MEMO_CHARS, CALL_CHARS = 400_000, 48, 200_000
+MEMO, MEMO_CHARS, CALL_CHARS, CALL_BYTES = 200_000, 48, 200_000, 2_000_000
 VISIBLE = "!-~¡-ɏ"
 LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 MARKS = r"!-&(-/:-@\[-`{-~"
 #: White space that the library's patterns and Python's may see differently, or that isn't ASCII.
-ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    　﻿]")
+ODD = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]"
 INSIDE = re.compile(rf"(?<=[{LETTER}])(?=[{MARKS}])|(?<=[{MARKS}])(?=[{LETTER}])|(?<=[!-~])(?=\n[!-~])|(?<=[!-~]\n)(?=[!-~])")
 WORD = re.compile(rf" ?[{LETTER}]+")
 SPLIT = {"dropped": re.compile(r"[ \t\n\r]+"), "leading": re.compile(rf"(?<=[{VISIBLE}])(?= [{VISIBLE}])")}
@@ -45,20 +48,26 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist(), but without a scalar object for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
-    """encode_many(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode_column(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, boundary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leading = boundary == "leading"
         self.split = SPLIT[boundary].split
         self.separator, self.around = SEPARATOR[boundary]
         ids = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
         self.mark = ids[self.around] if len(ids) == 1 + 2 * self.around else None
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.vocabulary)]
         self.pieces: dict[str, bytes] = {"": b""}
         self.old_pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -73,18 +82,15 @@ class ChunkEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Of runs of Latin letters: straight from the model, which wants the byte-level alphabet."""
-        tokenize, letters, out = self.model.tokenize, self.letters, []
+        tokenize, letters, raw, lower, out = self.model.tokenize, self.letters, self.raw, not self.leading, []
         for word in words:
-            if not self.leading:
+            if lower:
                 word = word.lower()
             if not word.isascii():
                 word = word.encode().decode("latin-1").translate(letters)
             elif word[0] == " ":
                 word = SPACE + word[1:]
-            ids = array("I", [t.id for t in tokenize(word)])
-            if BIG:
-                ids.byteswap()
-            out.append(ids.tobytes())
+            out.append(b"".join([raw[t.id] for t in tokenize(word)]))
         return out
 
     def _library(self, pieces: list[str]) -> dict[str, bytes]:
@@ -106,15 +112,15 @@ class ChunkEncoder:
                 call, chars = [], 0
         return out
 
-    def _learn(self, chunks: list[str], parts: dict[str, bytes]) -> list[bytes]:
-        """The ids of chunks, as they stand in a text; parts: what is known of parts."""
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, as they stand in a text."""
         if len(self.pieces) > MEMO:
             self.old_pieces, self.pieces = self.pieces, {"": b""}
         known, old, word = self.pieces, self.old_pieces, WORD.fullmatch
-        cut = {c: INSIDE.split(c) if not word(c) else (c,) for c in chunks}
-        need = set().union(*cut.values()).difference(known)
+        cut = [INSIDE.split(c) for c in chunks]
+        need = {p for own in cut for p in own if p not in known}
         new = {p: old[p] for p in need if p in old}
-        lead = self.leading
+        lead, parts = self.leading, self.parts
         for p in need:  # a word may be known as a whole part
             if lead == (p[:1] == " ") and (x := parts.get(p[1:] if lead else p)) is not None:
                 new[p] = x
@@ -123,61 +129,86 @@ class ChunkEncoder:
         new.update(zip(words, self._words(words), strict=True))
         new |= self._library(list(need.difference(words)))
         known.update(new)
-        found = [known[cut[c][0]] if len(cut[c]) == 1 else b"".join([known[p] for p in cut[c]]) for c in chunks]
+        found = [known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for own in cut]
         for p in [p for p in new if len(p) > MEMO_CHARS]:
             del known[p]
         return found
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        plain = [not ODD.search(t) for t in texts]
-        lead = self.leading
-        parts = [(t.split(" ") if lead else t.split()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if lead:
-            first = [p.pop(0) if p else "" for p in parts]
-            plain = [p and (not x or not f or ENDS_VISIBLE.fullmatch(f) is not None) and (f != "" or not x) for p, f, x in zip(plain, first, parts, strict=True)]
-        distinct = set().union(*parts)
+    def _new_parts(self, parts: list[str]) -> list[bytes | None]:
+        """The ids of parts that follow a boundary; None for one that a boundary can't stand beside."""
+        lead, word = self.leading, WORD.fullmatch
+        out: list[bytes | None] = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if word(p)]
+        for i, ids in zip(plain, self._words([" " + parts[i] for i in plain] if lead else [parts[i] for i in plain]), strict=True):
+            out[i] = ids
+        others = [i for i, p in enumerate(parts) if out[i] is None and (not lead or ENDS_VISIBLE.fullmatch(p))]
+        for i, ids in zip(others, self._learn([" " + parts[i] for i in others] if lead else [parts[i] for i in others]), strict=True):
+            out[i] = ids
+        return out
+
+    def _of_parts(self, parts: list[str]) -> list[bytes | None]:
         if len(self.parts) > MEMO:
             self.old_parts, self.parts = self.parts, {}
-        memo, old, word = self.parts, self.old_parts, WORD.fullmatch
-        own = {c: memo[c] for c in distinct if c in memo}  # small, so that looking up a text's parts stays in cache
-        new = distinct.difference(own)
-        fresh = {c: old[c] for c in new if c in old}
-        new = new.difference(fresh)
-        words = [c for c in new if word(c)]
-        fresh.update(zip(words, self._words([" " + c for c in words] if lead else words), strict=True))
-        own.update(fresh)
-        good = [c for c in new.difference(words) if not lead or ENDS_VISIBLE.fullmatch(c)]
-        others = dict(zip(good, self._learn([" " + c for c in good] if lead else good, own), strict=True))
-        own.update(others)
-        memo.update(fresh)
-        memo.update(others)
-        for c in [c for c in new if len(c) > MEMO_CHARS]:
-            memo.pop(c, None)
-        out: list[bytes] = []
-        heads = iter(self._learn([f for f, p in zip(first, plain, strict=True) if p], own)) if lead else iter(())
-        for text, mine, whole in zip(texts, parts, plain, strict=True):
-            head = next(heads) if lead and whole else b""
-            try:
-                found = b"".join(map(own.__getitem__, mine)) if whole else None
-            except KeyError:  # a part that does not start and end with a visible character
-                found = None
-            out.append(b"".join(self._learn(self.split(text), own)) if found is None else head + found)
+        memo, old = self.parts, self.old_parts
+        out = list(map(memo.get, parts))
+        new = [i for i, x in enumerate(out) if x is None]
+        for i in new:
+            out[i] = old.get(parts[i])
+        fresh = [i for i in new if out[i] is None]
+        for i, ids in zip(fresh, self._new_parts([parts[i] for i in fresh]), strict=True):
+            out[i] = ids
+        memo.update((parts[i], out[i]) for i in new if out[i] is not None and len(parts[i]) <= MEMO_CHARS)
+        return out
+
+    def _plain(self, texts: pa.Array) -> list[bytes | None]:
+        """The ids of texts without odd characters, each distinct part encoded once; None where a boundary can't stand beside some
+        part."""
+        parts = pc.split_pattern(texts, " ") if self.leading else pc.ascii_split_whitespace(texts)
+        starts = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        own, codes = self._of_parts(_strings(coded.dictionary)), coded.indices.to_numpy()
+        many = np.diff(starts)
+        bad = np.array([x is None for x in own])[codes]
+        if self.leading:  # the first part follows no boundary; alone it is the whole text
+            codes = codes.copy()
+            heads = coded.dictionary.take(pa.array(codes[starts[:-1]])).to_pylist()
+            bad[starts[:-1]] = [n > 1 and not ENDS_VISIBLE.fullmatch(h) for h, n in zip(heads, many.tolist(), strict=True)]
+            codes[starts[:-1]] = len(own) + np.arange(len(heads))
+            own += self._learn([h if n == 1 or not b else "" for h, n, b in zip(heads, many.tolist(), bad[starts[:-1]].tolist(), strict=True)])
+        ids = pa.array([x or b"" for x in own], pa.large_binary()).take(pa.array(codes))
+        data, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][starts].tolist()
+        whole = np.logical_or.reduceat(bad, starts[:-1]) if len(codes) else bad
+        return [None if w else data[a:b].to_pybytes() for w, a, b in zip(whole.tolist(), ends, ends[1:], strict=False)]
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids."""
+        added = np.zeros(len(texts), bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = added | pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        plain = iter(self._plain(texts.filter(pa.array(~odd))) if not odd.all() else ())
+        out = []
+        for i, o in enumerate(odd.tolist()):
+            own = None if o else next(plain)
+            if own is None:
+                text = texts[i].as_py()
+                own = self._ids(text).tobytes() if added[i] else b"".join(self._learn(self.split(text)))
+            out.append(own)
         return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-
-def encoded(enc: ChunkEncoder, texts: list[str], chars: int = CALL_CHARS):
-    """Each text's ids in turn, encoded some at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= chars:
-            yield from enc.encode_many(held)
-            held, size = [], 0
-    yield from enc.encode_many(held)
+        return self.encode_column(pa.array([text], pa.string()))[0]
+
+
+def encoded(enc: ChunkEncoder, texts: pa.Array, size: int = CALL_BYTES) -> Iterator[bytes]:
+    """Each text's ids in turn, of an array without nulls, encoded some at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield from enc.encode_column(texts.slice(at, to - at))
+        at = to
 
 
 _open: dict[tuple[str, str], ChunkEncoder] = {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches, text_or_empty
+from haulmark.llm._common import frugal, small_batches, text_or_empty
 from haulmark.llm.chunked_tokens import encoded, encoder
 
 GROUP_DOCS = 2_048
@@ -122,8 +122,8 @@ def pack_documents(
         kinds = [pa.int64()] * 7 + [pa.binary()]
         for batch in batches:
             out: list[tuple] = []
-            cols = [c.to_pylist() for c in batch.columns]
-            for doc_id, own, group, tie in zip(cols[0], encoded(enc, cols[1]), *cols[2:], strict=True):
+            ids_, groups_, ties = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for doc_id, own, group, tie in zip(ids_, encoded(enc, batch.column(1)), groups_, ties, strict=True):
                 raw = own + end
                 n = len(raw) // 4
                 for at in range(0, len(raw), step):
@@ -169,8 +169,8 @@ def pack_documents(
         .withColumn("tie", F.xxhash64("text"))
         .withColumn("group_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(groups)))
         .select("doc_id", "text", "group_id", "tie")
-        .mapInArrow(cut, cut_schema)
+        .mapInArrow(frugal(cut), cut_schema)
         .repartition("group_id")
         .sortWithinPartitions(*order)
-        .mapInArrow(fill, PIECES)
+        .mapInArrow(frugal(fill), PIECES)
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches, text_or_empty
+from haulmark.llm._common import frugal, small_batches, text_or_empty
 from haulmark.llm.chunked_tokens import encoded, encoder
 
 #: Bounds of the sample the dictionary is trained on: documents, characters of each, ids of each.
@@ -45,17 +45,14 @@ def _dtype(vocabulary: int, end_id: int) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, boundary: str, end_id: int) -> bytes:
-    """From a bounded sample: the SAMPLE_DOCS texts of at most SAMPLE_CHARS characters with the smallest hashes.
+    """From a bounded sample: the SAMPLE_DOCS different texts of at most SAMPLE_CHARS characters with the smallest hashes.
     Too few samples to train on: their own bytes serve as the dictionary."""
     import zstandard
 
-    sample = (
-        docs.where(F.length("text").between(1, SAMPLE_CHARS))
-        .select("text")
-        .orderBy(F.xxhash64("text"))
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("hash"))
+    least = [r.hash for r in short.select("hash").distinct().orderBy("hash").limit(SAMPLE_DOCS).collect()]
+    sample = short.where(F.col("hash").isin(least)).dropDuplicates(["hash"]).collect() if least else []
+    sample.sort(key=lambda r: r.hash)
     enc = encoder(tokenizer, boundary)
     kind = _dtype(enc.vocabulary, end_id)
     ids = [np.frombuffer(enc.encode(r.text), "<u4")[:SAMPLE_IDS].astype(kind).tobytes() for r in sample]
@@ -105,7 +102,7 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1).to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1)), strict=True):
                 raw = np.frombuffer(own + end, "<u4")
                 frame = press.compress(raw.astype(kind).tobytes())
                 ids.append(doc_id)
@@ -127,7 +124,7 @@ def write_token_files(
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
-        .mapInArrow(lay_out, BLOCKS)
+        .mapInArrow(frugal(lay_out), BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
     by_part = blocks(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -171,7 +168,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
     columns = ["dict_hash", "dtype", "base", "doc_ids", "counts", "starts", "offsets", "payload"]
     spread = blocks(spark, path).join(parts, "part").select(*columns)
-    return spread.mapInArrow(decode, ROWS)
+    return spread.mapInArrow(frugal(decode), ROWS)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -32,7 +33,6 @@ SCHEMA = "doc_id long, text string, start string"
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,10 +46,12 @@ def test_chunks_encode_as_whole_texts(path, boundary):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == lib(text)
 
     same()
+    for text in ("a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y z<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", "a  <|endoftext|>\n b"):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == lib(text)
     texts = [text or "" for _, text, _ in ROWS]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(texts)] == list(map(lib, texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(pa.array(texts))] == list(map(lib, texts))
     prose = [r.text for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pandas().itertuples()]
-    got = [x for i in range(0, len(prose), 50) for x in enc.encode_many(prose[i : i + 50])]
+    got = list(chunked_tokens.encoded(enc, pa.array(prose), 100_000))
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(lib, prose))
 
 
@@ -58,7 +60,7 @@ def test_bounded_memo_changes_nothing(path, boundary, monkeypatch):
     monkeypatch.setattr(chunked_tokens, "MEMO", 40)
     enc, lib = ChunkEncoder(path, boundary), whole(path)
     texts = [" ".join(f"w{j * i}." for j in range(60)) for i in range(20)] * 2
-    assert [np.frombuffer(x, "<u4").tolist() for i in range(0, 40, 3) for x in enc.encode_many(texts[i : i + 3])] == list(map(lib, texts))
+    assert [np.frombuffer(x, "<u4").tolist() for i in range(0, 40, 3) for x in enc.encode_column(pa.array(texts[i : i + 3]))] == list(map(lib, texts))
 
 
 def test_token_files_round_trip(spark):
