@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches, staged, text_or_empty
+from haulmark.llm._common import frugal, small_batches, staged, text_or_empty
 
 PASSAGE, RANK, COSINE, LCS, LCS_ANSWER, MOST, SEED = 64, 160, 0.35, 0.7, 0.55, 0.02, 29
 #: Fewer passages than this are too few to call a word common.
 COMMON = 50
-BLOCK_ITEMS, BLOCK_CHARS, TERMS_A_ROW, FAN_IN = 5_000, 4_000_000, 16, 32
+BLOCK_ITEMS, BLOCK_CHARS, TERMS_A_ROW, FAN_IN = 2_000, 1_000_000, 16, 32
+#: Passages in one dense matrix; words of an item that fit the bits of a number.
+ROWS, BITS = 48, 63
 #: Up to so many leaking ids are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
 WORD = re.compile(r"\w+")
@@ -79,6 +81,32 @@ class Items:
                 state = (state + x | state - x) & full
         return n - state.bit_count()
 
+    def shares(self, item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of pairs (item, words[lo:hi]): the share of the item in their longest common subsequence. All pairs of an item take
+        each step together, where its words fit a number's bits."""
+        out = np.zeros(len(item))
+        order = np.argsort(item, kind="stable")
+        for rows in np.split(order, np.nonzero(np.diff(item[order]))[0] + 1) if len(item) else ():
+            j, n = int(item[rows[0]]), len(self.words[item[rows[0]]])
+            if n > BITS:
+                out[rows] = [self.lcs(j, words[lo[r] : hi[r]].tolist()) / n for r in rows]
+                continue
+            own = np.array(self.words[j])
+            bits = np.zeros(len(self.number) + 1, np.uint64)
+            np.bitwise_or.at(bits, own, np.uint64(1) << np.arange(n, dtype=np.uint64))
+            for part in np.split(rows, range(1_024, len(rows), 1_024)):
+                size = hi[part] - lo[part]
+                step = np.arange(size.max(initial=0))
+                at = np.minimum(lo[part][None, :] + step[:, None], max(0, len(words) - 1))
+                hits = np.where(step[:, None] < size[None, :], bits[words[at]] if len(words) else np.uint64(0), np.uint64(0))
+                full = np.uint64((1 << n) - 1)
+                state = np.full(len(part), full)
+                for hit in hits[hits.any(1)]:
+                    x = state & hit
+                    state = ((state + x) | (state - x)) & full
+                out[part] = (n - np.bitwise_count(state).astype(np.int64)) / n
+        return out
+
     def has_answer(self, item: int, other: list[int]) -> bool:
         rest = iter(other)
         return bool(self.answers[item]) and all(w in rest for w in self.answers[item])
@@ -101,7 +129,7 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
                 words.append(own[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], ["doc_id", "n_words", "places", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(reduce, "doc_id long, n_words long, places binary, words binary")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(frugal(reduce), "doc_id long, n_words long, places binary, words binary")
 
 
 def _entries(batch: pa.RecordBatch, span: int, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +157,7 @@ def frequencies(coded: DataFrame, terms: int) -> tuple[np.ndarray, int]:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
 
-    rows = coded.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    rows = coded.mapInArrow(frugal(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(terms, np.int64)
     df[rows["word"].to_numpy(int)] = rows["n"].to_numpy(int)
     passages = coded.agg(F.sum(F.ceil(F.col("n_words") / PASSAGE))).first()[0] or 0
@@ -149,13 +177,15 @@ def weights(df: np.ndarray, passages: int, items: Items | None = None) -> np.nda
     return w.astype(np.float32)
 
 
-def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by a sorted index."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(index):
-        first = np.concatenate([[0], np.nonzero(np.diff(index))[0] + 1])
-        out[index[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+def _dense(stretch: np.ndarray, word: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Sorted entries of n stretches as small dense matrices: (which stretches, which words, matrix)."""
+    for lo in range(0, n, ROWS):
+        a, b = np.searchsorted(stretch, [lo, lo + ROWS])
+        if a < b:
+            words, column = np.unique(word[a:b], return_inverse=True)
+            part = np.zeros((min(ROWS, n - lo), len(words)), np.float32)
+            part[stretch[a:b] - lo, column] = value[a:b]
+            yield slice(lo, lo + len(part)), words, part
 
 
 def _weighed(batch: pa.RecordBatch, span: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +206,8 @@ def gram_times(coded: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
             stretch, word, value, base = _weighed(batch, PASSAGE, idf)
             norm = np.sqrt(np.bincount(stretch, value**2, minlength=base[-1]))
             value = value / norm[stretch].astype(np.float32)
-            rows = q32[word]
-            rows *= value[:, None]
-            z = _sums(stretch, rows, base[-1])
-            by = np.argsort(word, kind="stable")
-            word, value, stretch = word[by], value[by], stretch[by]
-            first = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1]) if len(word) else np.zeros(0, int)
-            if len(word):
-                total[word[first]] += np.add.reduceat(z[stretch] * value[:, None], first, axis=0)
+            for _, words, own in _dense(stretch, word, value, base[-1]):
+                total[words] += own.T @ (own @ q32[words])
         salt = TaskContext.get().partitionId() % FAN_IN
         at = range(0, terms, TERMS_A_ROW)
         cols = [pa.array(list(at), pa.int64()), pa.array([salt] * len(at), pa.int64()), pa.array([total[a : a + TERMS_A_ROW].tobytes() for a in at], pa.binary())]
@@ -204,8 +228,8 @@ def gram_times(coded: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
             yield row()
 
     kind = "at long, salt long, part binary"
-    sums = coded.mapInArrow(part, kind).repartition("at", "salt").sortWithinPartitions("at", "salt").mapInArrow(add, kind)
-    sums = sums.withColumn("salt", F.lit(0).cast("long")).repartition("at").sortWithinPartitions("at", "salt").mapInArrow(add, kind)
+    sums = coded.mapInArrow(frugal(part), kind).repartition("at", "salt").sortWithinPartitions("at", "salt").mapInArrow(frugal(add), kind)
+    sums = sums.withColumn("salt", F.lit(0).cast("long")).repartition("at").sortWithinPartitions("at", "salt").mapInArrow(frugal(add), kind)
     out = np.zeros((terms, rank))
     for r in sums.collect():
         out[r.at : r.at + TERMS_A_ROW] = np.frombuffer(r.part).reshape(-1, rank)
@@ -238,10 +262,9 @@ def search(coded: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray) -> Da
             latent[i] = (v[words] * idf[words, None]).sum(0)
     known = _unit(latent)
     # a common subsequence of that share needs so many of an item's weighed words near the window
-    weighed = np.zeros((len(items.ids), len(idf)), bool)
-    for i, words in enumerate(items.words):
-        weighed[i, words] = True
-    weighed[:, idf <= 0] = False
+    terms = len(idf)
+    weighed = np.unique(np.concatenate([np.zeros(0, np.int64), *(i * terms + own[idf[own] > 0] for i, w in enumerate(items.words) if len(own := np.unique(w).astype(np.int64)))]))
+    weighed = np.append(weighed, np.iinfo(np.int64).max)
     least = np.array([np.ceil(LCS_ANSWER * len(w) - 1e-9) - sum(idf[x] <= 0 for x in w) for w in items.words])
     repeats = np.array([max(np.bincount(w)) if w else 1 for w in items.words])
     least = np.ceil(least / repeats)
@@ -253,9 +276,9 @@ def search(coded: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray) -> Da
         kinds = [*[pa.int64()] * 4, *[pa.float64()] * 2, pa.bool_()]
         for batch in batches:
             stretch, word, value, base = _weighed(batch, half, idf)
-            rows = v[word]
-            rows *= value[:, None]
-            z = _sums(stretch, rows, base[-1])
+            z = np.zeros((base[-1], v.shape[1]), np.float32)
+            for at, words, own in _dense(stretch, word, value, base[-1]):
+                z[at] = own @ v[words]
             doc = np.repeat(np.arange(batch.num_rows), np.diff(base))
             both = z.copy()
             same = np.nonzero(doc[:-1] == doc[1:])[0]
@@ -271,39 +294,38 @@ def search(coded: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray) -> Da
                 n = first[hi] - first[lo]
                 pair = np.repeat(np.arange(len(w)), n)
                 at = np.repeat(first[lo] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                hit = weighed[item[pair], word[at]]
-                key = np.unique(pair[hit] * len(idf) + word[at[hit]]) // len(idf)
+                key = item[pair] * terms + word[at]
+                hit = weighed[np.searchsorted(weighed, key)] == key
+                key = np.unique(pair[hit] * terms + word[at[hit]]) // terms
                 return np.bincount(key, minlength=len(w)) >= least[item]
 
             ids = batch.column("doc_id").to_pylist()
-            text: tuple = (None, None, None)
+            places, every = ([np.frombuffer(x.as_py(), np.int32) for x in batch.column(n)] for n in ("places", "words"))
+            place = np.concatenate([np.zeros(0, np.int64), *(p + (d << 32) for d, p in enumerate(map(np.int64, places)))])
+            every = np.concatenate([np.zeros(0, np.int32), *every])
             for a in range(0, len(both), 4_000):
                 cosine = _unit(both[a : a + 4_000]) @ known.T
                 w, item = np.nonzero(cosine >= COSINE)
-                c = cosine[w, item]
-                near_ = enough(w + a, item)
-                for i, j, c in zip((w[near_] + a).tolist(), item[near_].tolist(), c[near_].tolist(), strict=True):
-                    d = int(doc[i])
-                    if text[0] != d:
-                        text = (d, *(np.frombuffer(batch.column(n)[d].as_py(), np.int32) for n in ("places", "words")))
-                    size = len(items.words[j])
-                    around = max(half, size)
-                    at = (i - int(base[d])) * half
-                    lo, hi = np.searchsorted(text[1], [at - around, at + PASSAGE + around])
-                    near = text[2][lo:hi].tolist()
-                    share = items.lcs(j, near) / size
-                    if share < LCS_ANSWER:
-                        continue
-                    answer = items.has_answer(j, near)
-                    if share >= LCS or answer:
-                        row = (ids[d], items.ids[j], max(0, at - around), at + PASSAGE + around, round(c, 6), round(share, 6), answer)
-                        old = best.get((d, j))
+                near = enough(w + a, item)
+                w, item, cosine = w[near] + a, item[near], cosine[w[near], item[near]]
+                d = doc[w]
+                around = np.maximum(half, sizes[item])
+                at = (w - base[:-1][d]) * half
+                lo = np.searchsorted(place, (d << 32) + np.maximum(at - around, 0))
+                hi = np.searchsorted(place, (d << 32) + np.minimum(at + PASSAGE + around, (1 << 32) - 1))
+                share = items.shares(item, every, lo, hi)
+                for r in np.nonzero(share >= LCS_ANSWER)[0].tolist():
+                    i, j, first_word, part = int(d[r]), int(item[r]), int(at[r] - around[r]), float(share[r])
+                    answer = items.has_answer(j, every[lo[r] : hi[r]].tolist())
+                    if part >= LCS or answer:
+                        row = (ids[i], items.ids[j], max(0, first_word), int(at[r] + PASSAGE + around[r]), round(float(cosine[r]), 6), round(part, 6), answer)
+                        old = best.get((i, j))
                         if old is None or (-row[5], row[2]) < (-old[5], old[2]):
-                            best[d, j] = row
+                            best[i, j] = row
             found = list(best.values())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else [[]] * 7, kinds, strict=True)], names)
 
-    return coded.mapInArrow(look, LEAK) if longest else coded.sparkSession.createDataFrame([], LEAK)
+    return coded.mapInArrow(frugal(look), LEAK) if longest else coded.sparkSession.createDataFrame([], LEAK)
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:

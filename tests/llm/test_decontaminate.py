@@ -112,3 +112,18 @@ def test_empty_tables(spark, which):
     docs = spark.createDataFrame([(1, "some words", None, "")] if which == 1 else [], DOCS)
     bench = spark.createDataFrame([(1, "some words", None)] if which == 0 else [], BENCH)
     assert leaks(docs, bench).collect() == []
+
+
+def test_shares_of_many_pairs():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 40, 63, 64, 90)]
+    items = dc.Items(list(enumerate(texts)))
+    words = rng.integers(0, len(items.number), 4_000).astype(np.int32)
+    item, lo = rng.integers(0, len(texts), 300), rng.integers(0, 3_800, 300)
+    hi = lo + rng.integers(0, 200, 300)
+    got = items.shares(item, words, lo, hi)
+    want = [items.lcs(j, words[a:b].tolist()) / len(items.words[j]) for j, a, b in zip(item.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+    assert np.allclose(got, want)
+    assert items.shares(item[:0], words[:0], lo[:0], hi[:0]).tolist() == []
+    assert items.shares(item[:2], words[:0], lo[:2] * 0, hi[:2] * 0).tolist() == [0, 0]
