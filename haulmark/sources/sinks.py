@@ -23,22 +23,32 @@ def events_for(ids: DataFrame, stage: str, lane: str | None, detail: str | None,
     )
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Versions:
     """A table as numbered folders: a write is a new folder, readers use the greatest that is complete. What MERGE does
-    where a catalog offers it."""
+    where a catalog offers it. The last KEPT complete ones stay, for readers that began earlier. Of two writers with the same
+    number the second fails, as the folder is there."""
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _numbers(self) -> list[int]:
+    def _folders(self):
+        """The file system, and number -> path of the complete versions and of all."""
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n.removeprefix("v")) for n in done)
+        paths = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        known = {int(p.getName().removeprefix("v")): p for p in paths}
+        return fs, {n: p for n, p in known.items() if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}, known
+
+    def _numbers(self) -> list[int]:
+        return sorted(self._folders()[1])
 
     def read(self) -> DataFrame:
         numbers = self._numbers()
@@ -47,8 +57,10 @@ class Versions:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{numbers[-1]}")
 
     def replace(self, rows: DataFrame) -> None:
-        numbers = self._numbers()
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{numbers[-1] + 1 if numbers else 0}")
+        fs, done, known = self._folders()
+        rows.write.parquet(f"{self.path}/v{max(known, default=-1) + 1}")
+        for n in sorted(done)[: -self.KEPT + 1]:
+            fs.delete(known[n], True)
 
     def upsert(self, rows: DataFrame, key: str, order: Column) -> None:
         self.replace(upsert_latest(self.read(), rows, key, order))

@@ -40,7 +40,8 @@ def kafka(spark: SparkSession, servers: str, topic: str, per_batch: int | None =
 
 
 def stored_objects(spark: SparkSession, root: str) -> DataFrame:
-    """(object_key, bytes) of every object below a folder or bucket, keys relative to it."""
+    """(object_key, bytes) of every object below a folder or bucket, keys relative to it. Spark passes over files without bytes;
+    no file without content is ever stored."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.instr("path", root.rstrip("/").split("://")[-1])
     return found.select(F.expr("path"), F.col("content").alias("bytes")).select(

@@ -2,7 +2,8 @@
 
 A key's changes reach one task, in order of seq within a micro-batch; between micro-batches the source keeps a key's
 order, as a topic's partitions do. Redelivery of a batch is harmless: a change at or below the key's last
-seq is ignored, and sinks write a folder a batch, which a repeated batch overwrites.
+seq is ignored and counted in the column late, and sinks write a folder a batch, which a repeated batch overwrites. A deleted
+key's state goes TOMBSTONE_DAYS after its last change; what comes for it later starts anew.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from haulmark.operators.cdc import parse, route
 from haulmark.schemas import OPS
 
 LOG = "seq long, value string"
-ROW = "source_id long, lane string, status string, attempts int, source_version long, last_seq long, deleted boolean"
+ROW = "source_id long, lane string, status string, attempts int, source_version long, last_seq long, deleted boolean, late int"
+TOMBSTONE_DAYS = 7
 STATE = "attempts int, source_version long, last_seq long, alive boolean"
 
 
@@ -39,15 +41,21 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        now = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, late = state.get if state.exists else None, 0
         rows = pd.concat(list(frames)).sort_values("seq")
         for seq, op, version in zip(rows["seq"], rows["op"], rows["version"], strict=True):
+            late += now is not None and seq <= now[2]
             now = advance(now, int(seq), op, int(version))
         state.update(now)
         attempts, version, seq, alive = now
-        yield pd.DataFrame([(key[0], "cdc", "DONE" if alive else "DELETED", attempts, version, seq, not alive)], columns=[c.split()[0] for c in ROW.split(", ")])
+        if not alive:
+            state.setTimeoutDuration(TOMBSTONE_DAYS * 86_400_000)
+        yield pd.DataFrame([(key[0], "cdc", "DONE" if alive else "DELETED", attempts, version, seq, not alive, late)], columns=[c.split()[0] for c in ROW.split(", ")])
 
-    return changes.groupBy("id").applyInPandasWithState(step, ROW, STATE, "update", GroupStateTimeout.NoTimeout)
+    return changes.groupBy("id").applyInPandasWithState(step, ROW, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def read_log(spark: SparkSession, folder: str, files_a_batch: int = 1) -> DataFrame:
