@@ -152,3 +152,25 @@ def generated_text(source_id: Column, target_bytes: Column) -> Column:
     lines = F.greatest(F.lit(0), F.ceil((target_bytes - F.length(head)) / 24)).cast("int")
     filler = F.repeat(F.concat(F.lit("LINE ITEM REFERENCE "), source_id.cast("string"), F.lit(" ")), lines)
     return F.left(F.concat(head, filler), F.greatest(F.length(head), target_bytes.cast("int")))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{WHITE_SPACE}", ""), f"{WHITE_SPACE}$", "")
+
+
+def upload(filename: Column, text: Column, now: Column) -> list[Column]:
+    """filename, content_type, content, byte_size of an uploaded text: null is empty, a blank name is made from the time."""
+    name, content = trimmed(filename), F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    own = F.concat(F.lit("upload-"), F.unix_millis(now).cast("string"), F.lit(".txt"))
+    named = F.when(F.length(name) > 0, name).otherwise(own)
+    return [named.alias("filename"), F.lit("text/plain").alias("content_type"), content.alias("content"), F.octet_length(content).alias("byte_size")]
+
+
+def decoded(base64: Column) -> Column:
+    """Bytes of base64 text: both alphabets, with or without padding; what is in neither alphabet is passed over, and null
+    gives no bytes."""
+    plain = F.regexp_replace(F.translate(F.coalesce(base64, F.lit("")), "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    whole = F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0)
+    cut = F.substring(plain, F.lit(1), whole)
+    return F.unbase64(F.rpad(cut, (F.ceil(whole / 4) * 4).cast("int"), F.lit("=")))

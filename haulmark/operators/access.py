@@ -16,9 +16,9 @@ def in_range(rows: DataFrame, start: int, end: int) -> DataFrame:
     return rows.where(F.col("id").between(start, end)).select("id", "created_at").orderBy("id")
 
 
-def page_after(rows: DataFrame, after: int, limit: int, key: str) -> DataFrame:
-    """The next page of ids in key order."""
-    return rows.where(F.col(key) > after).select(key).orderBy(key).limit(limit)
+def page_after(rows: DataFrame, after: int, limit: int, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The next page in key order: ids, and the columns that are asked for."""
+    return rows.where(F.col(key) > after).select(key, *more).orderBy(key).limit(limit)
 
 
 def max_id(rows: DataFrame, key: str = "id") -> DataFrame:

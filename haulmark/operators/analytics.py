@@ -55,6 +55,17 @@ def recent_documents(document: DataFrame, events: DataFrame, limit: int) -> Data
     return out.drop("a", "b").orderBy(F.desc("migrated_at"), "source_id")
 
 
+def shaped(rows: DataFrame) -> DataFrame:
+    """recent_documents as they are handed out: the id as text, numbers finite or their fallback."""
+    number = lambda name, fallback: fn.to_finite_number(F.col(name), fallback)
+    known = lambda name: F.when(F.col(name).isNotNull(), F.col(name).cast("double"))
+    span = F.when(F.col("duration_seconds").isNotNull() & ~F.isnan("duration_seconds") & (F.abs("duration_seconds") < float("inf")), F.col("duration_seconds"))
+    return rows.select(
+        F.col("source_id").cast("string").alias("source_id"), "filename", "object_key", number("byte_size", 0).alias("byte_size"), "ocr_text",
+        known("ocr_confidence").alias("ocr_confidence"), known("ocr_page_count").alias("ocr_page_count"), "migrated_at", span.alias("duration_seconds"),
+    )
+
+
 def trace(events: DataFrame) -> DataFrame:
     """Each source's history in order, stages repeated as they came."""
     order = Window.partitionBy("source_id").orderBy("id")

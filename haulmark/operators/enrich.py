@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.functions import text as fn
+from haulmark.operators import ledger
 
-# Fixed value: documents a vendor call.
+# Documents a vendor call, seconds until a message that is not acknowledged comes again.
 VENDOR_BATCH = 25
+REDELIVER_S = {"cdc": 10, "backfill": 30}
+
+
+# What a vendor in these modes answers with.
+TROUBLE = {"rate_limited": "RATE_LIMITED", "erroring": "TRANSIENT", "down": "TRANSIENT"}
 
 
 class VendorError(Exception):
@@ -41,6 +47,21 @@ def outcomes(asked: DataFrame, state: DataFrame, files: DataFrame, claimable, at
     return first.select("source_id", F.explode(again).alias("v")).select("source_id", "v.*")
 
 
+def acknowledged(messages: DataFrame, state: DataFrame) -> DataFrame:
+    """messages (message, lane, sourceIds) -> (message, lane, ack, redeliver_s): acknowledged if none of its ids is unresolved in
+    the ledger (an id without a row is not); else it comes again after its lane's wait."""
+    ids = messages.select("message", "lane", F.explode_outer("sourceIds").alias("source_id"))
+    open_ = state.where(ledger.unresolved()).select("source_id", F.lit(1).alias("open"))
+    found = ids.join(open_, "source_id", "left").groupBy("message", "lane").agg(F.count("open").alias("open"))
+    wait = F.create_map(*(F.lit(x) for pair in REDELIVER_S.items() for x in pair))[F.col("lane")]
+    return found.select("message", "lane", (F.col("open") == 0).alias("ack"), F.when(F.col("open") > 0, wait).alias("redeliver_s"))
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """rows (id, contentBase64) as a vendor takes them: (id, content, processable); one without bytes can't be processed."""
+    return rows.select("id", fn.decoded(F.col("contentBase64")).alias("content")).withColumn("processable", F.octet_length("content") > 0)
+
+
 def tally(rows: DataFrame) -> DataFrame:
     """(outcome, n): sums to what was asked for."""
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))
@@ -64,19 +85,24 @@ def extracted(files: DataFrame) -> DataFrame:
 RESULT = "source_id long, outcome string, reason string, text string, calls int"
 
 
-def call_vendor(files: DataFrame, vendor: Callable[[list[tuple[int, bytes]]], dict[int, str]], batch: int = VENDOR_BATCH) -> DataFrame:
+def call_vendor(files: DataFrame, vendor: Callable[[list[tuple[int, bytes]]], dict[int, str]], batch: int = VENDOR_BATCH, governed: Callable | None = None) -> DataFrame:
     """files(id, content) through an outside service, some at a time.
 
+    ``governed`` makes, for each task, what a call goes through: a function of the call, such as governor.for_lane(). Limits
+    are a task's own, so give each its share of what the service takes.
+
     A batch that fails for good is sent again one by one, so that one bad file doesn't fail its neighbours; any other
     failure makes what is left retryable without counting against it. An id the answer leaves out is retryable."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        through = governed() if governed else None
+        send = (lambda rows: through(lambda: vendor(rows))) if through else vendor
         for frame in frames:
             rows = list(zip(frame["id"].tolist(), (bytes(x) for x in frame["content"]), strict=True))
             for at in range(0, len(rows), batch):
-                yield pd.DataFrame(_send(rows[at : at + batch], vendor), columns=["source_id", "outcome", "reason", "text", "calls"])
+                yield pd.DataFrame(_send(rows[at : at + batch], send), columns=["source_id", "outcome", "reason", "text", "calls"])
 
     return files.select("id", "content").mapInPandas(run, RESULT)
 

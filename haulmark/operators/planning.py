@@ -13,9 +13,8 @@ def ranges(max_id: DataFrame, size: int = RANGE_SIZE) -> DataFrame:
     """(range_start, range_end): from 1 without gaps; the last may pass the largest id. None for a max_id under 1."""
     if size <= 0:
         raise ValueError("a range holds at least one id")
-    last = F.greatest(F.lit(1), F.col("max_id")).cast("long")
-    starts = max_id.select("max_id", F.explode(F.sequence(F.lit(1).cast("long"), last, F.lit(size).cast("long"))).alias("range_start"))
-    starts = starts.where("max_id >= 1").select("range_start")
+    last = max_id.first()["max_id"] or 0
+    starts = max_id.sparkSession.range(1, max(1, last + 1), size).select(F.col("id").alias("range_start"))
     return starts.withColumn("range_end", F.col("range_start") + size - 1)
 
 
@@ -50,6 +49,26 @@ def mark_range_done(checkpoints: DataFrame, done: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("done"), "DONE").otherwise(F.col("status"))).drop("done")
 
 
+def plan(checkpoints: DataFrame, max_id: DataFrame, size: int = RANGE_SIZE) -> DataFrame:
+    """checkpoints with a PENDING row for each range that is new; known ones stay as they are."""
+    keys = ["range_start", "range_end"]
+    fresh = ranges(max_id, size).join(checkpoints.select(*keys), keys, "left_anti")
+    return checkpoints.unionByName(fresh.withColumns({"status": F.lit("PENDING"), "claimed_at": F.lit(None).cast("timestamp")}))
+
+
+def claim_all(checkpoints: DataFrame, now: Column) -> DataFrame:
+    """Every PENDING range becomes CLAIMED: what claiming the next until there is none comes to, for a job that drains them
+    all at once."""
+    free = F.col("status") == "PENDING"
+    return checkpoints.withColumns({"claimed_at": F.when(free, now).otherwise(F.col("claimed_at")), "status": F.when(free, "CLAIMED").otherwise(F.col("status"))})
+
+
+def in_ranges(files: DataFrame, claimed: DataFrame, size: int = RANGE_SIZE) -> DataFrame:
+    """Files whose id is in one of the ranges."""
+    start = F.floor((F.col("id") - 1) / size) * size + 1
+    return files.withColumn("range_start", start).join(claimed.select("range_start"), "range_start", "left_semi").drop("range_start")
+
+
 def range_events(checkpoints: DataFrame) -> DataFrame:
     """One event a range, without a source id."""
     detail = F.to_json(F.struct(F.col("range_start").alias("rangeStart"), F.col("range_end").alias("rangeEnd")))

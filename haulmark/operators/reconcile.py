@@ -6,7 +6,7 @@ table is read, so there are no transient defects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.functions import text as fn
@@ -31,8 +31,8 @@ def examined(document: DataFrame, files: DataFrame, objects: DataFrame) -> DataF
     return ours.join(source, "source_id", "left").join(object_hashes(objects), "object_key", "left")
 
 
-def document_defects(rows: DataFrame) -> DataFrame:
-    """(kind, id): of examined documents. One that has no source is an orphan and nothing else."""
+def document_kinds() -> Column:
+    """What is wrong with an examined document. One that has no source is an orphan and nothing else."""
     there = F.col("source_sha").isNotNull()
     stored = F.col("unreadable").isNotNull()
     checks = {
@@ -42,8 +42,12 @@ def document_defects(rows: DataFrame) -> DataFrame:
         "missing_object": there & ~stored,
         "unreadable_object": there & F.coalesce("unreadable", F.lit(False)),
     }
-    found = F.array_compact(F.array(*(F.when(bad, F.lit(kind)) for kind, bad in checks.items())))
-    return rows.select(F.explode(found).alias("kind"), F.col("source_id").alias("id"))
+    return F.array_compact(F.array(*(F.when(bad, F.lit(kind)) for kind, bad in checks.items())))
+
+
+def document_defects(rows: DataFrame) -> DataFrame:
+    """(kind, id): of examined documents."""
+    return rows.select(F.explode(document_kinds()).alias("kind"), F.col("source_id").alias("id"))
 
 
 def membership_defects(files: DataFrame, document: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -67,13 +71,28 @@ def defects(files: DataFrame, document: DataFrame, ledger: DataFrame, objects: D
     return document_defects(examined(document, files, objects)).unionByName(membership_defects(files, document, ledger)).unionByName(permanent_failures(ledger))
 
 
+def object_outcomes(document: DataFrame, objects: DataFrame) -> DataFrame:
+    """(source_id, outcome): read, missing or unreadable, of each document's object."""
+    joined = document.select("source_id", "object_key").join(object_hashes(objects), "object_key", "left")
+    return joined.select("source_id", F.when(F.col("unreadable").isNull(), "missing").when(F.col("unreadable"), "unreadable").otherwise("read").alias("outcome"))
+
+
 def summary(files: DataFrame, document: DataFrame, ledger: DataFrame, objects: DataFrame) -> DataFrame:
-    """One row: counts of the three tables, of documents that have a source, of defects, and whether all is well."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    rows = (
-        count(files, "source_rows").crossJoin(count(document, "document_rows")).crossJoin(count(ledger, "ledger_rows"))
-        .crossJoin(count(document.join(files.select(F.col("id").alias("source_id")), "source_id", "left_semi"), "rows_examined"))
-        .crossJoin(count(defects(files, document, ledger, objects), "defects"))
+    """One row: counts of the three tables, of documents that have a source, of defects, and whether all is well. Each table
+    is read once for membership and once for content."""
+    mark = lambda df, key, n, failed: df.select(F.col(key).alias("id"), F.lit(n).alias("side"), failed.alias("failed"))
+    well = F.lit(False)
+    sides = mark(files, "id", 1, well).union(mark(document, "source_id", 2, well)).union(mark(ledger, "source_id", 4, F.col("status") == "FAILED_PERMANENT"))
+    rows = lambda n: F.count_if(F.col("side") == n)
+    ids = sides.groupBy("id").agg(rows(1).alias("s"), rows(2).alias("d"), rows(4).alias("l"), F.count_if("failed").alias("failed"))
+    gone = lambda one, other: F.when((F.col(one) > 0) & (F.col(other) == 0), 1).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    members = ids.agg(
+        total("s").alias("source_rows"), total("d").alias("document_rows"), total("l").alias("ledger_rows"),
+        total(gone("s", "d") + gone("s", "l") + gone("l", "s") + F.col("failed")).alias("apart"),
     )
+    found = document_kinds()
+    content = examined(document, files, objects).agg(F.count_if(F.col("source_sha").isNotNull()).alias("rows_examined"), total(F.size(found)).alias("wrong"))
+    both = members.crossJoin(content).withColumn("defects", F.col("apart") + F.col("wrong"))
     equal = (F.col("source_rows") == F.col("document_rows")) & (F.col("source_rows") == F.col("ledger_rows"))
-    return rows.withColumn("clean", equal & (F.col("defects") == 0))
+    return both.select("source_rows", "document_rows", "ledger_rows", "rows_examined", "defects", (equal & (F.col("defects") == 0)).alias("clean"))

@@ -137,3 +137,18 @@ def indicators(spark, d):
     modes = F.array(*map(F.lit, ["healthy", "slow", "rate_limited", "erroring", "down", "unknown"]))
     rows = t.table(spark, d, "events").select("event_id", F.element_at(modes, (F.col("event_id") % 6 + 1).cast("int")).alias("mode"))
     return rows.withColumn("colour", fn.vendor_colour(F.col("mode")))
+
+
+@query(
+    "recent_shaped",
+    sql(
+        """WITH newest AS (SELECT * FROM document ORDER BY migrated_s DESC, source_id LIMIT 50),
+span AS (SELECT source_id, (max(t) - min(t)) / 1e6 AS duration_seconds FROM mevents WHERE source_id IS NOT NULL GROUP BY source_id)
+SELECT n.source_id::VARCHAR AS source_id, filename, object_key, byte_size::DOUBLE AS byte_size, left(ocr_text, 200) AS ocr_text, ocr_confidence::DOUBLE AS ocr_confidence,
+  ocr_page_count::DOUBLE AS ocr_page_count, migrated_s, duration_seconds FROM newest n LEFT JOIN span USING (source_id)""",
+        "document", "mevents",
+    ),
+)
+def recent_shaped(spark, d):
+    rows = an.shaped(an.recent_documents(t.document(spark, d), t.migration_events(spark, d), 50))
+    return rows.withColumn("migrated_s", F.unix_seconds("migrated_at")).drop("migrated_at")

@@ -66,3 +66,29 @@ for _name, _kind, _make in (
 @query("permanent_failures", sql("SELECT source_id AS id FROM ledger WHERE status = 'FAILED_PERMANENT'", "ledger"))
 def permanent_failures(spark, d):
     return rec.permanent_failures(t.ledger(spark, d)).select("id").orderBy("id")
+
+
+def _with_errors(spark, d):
+    number = F.substring("object_key", 7, 20).cast("long")
+    return t.objects(spark, d).select("object_key", F.when(number % 59 != 0, F.col("bytes")).alias("bytes"), F.when(number % 59 == 0, "timed out").alias("error"))
+
+
+@query(
+    "object_outcomes",
+    sql(
+        """SELECT d.source_id, CASE WHEN o.object_key IS NULL THEN 'missing' WHEN substr(o.object_key, 7)::BIGINT % 59 = 0 THEN 'unreadable' ELSE 'read' END AS outcome
+FROM document d LEFT JOIN objects o USING (object_key)""",
+        "document", "objects",
+    ),
+)
+def object_outcomes(spark, d):
+    return rec.object_outcomes(t.document(spark, d), _with_errors(spark, d))
+
+
+@query(
+    "unreadable_objects",
+    sql("SELECT 'unreadable_object' AS kind, d.source_id AS id FROM document d JOIN files f ON f.id = d.source_id JOIN objects o USING (object_key) WHERE f.id % 59 = 0", "document", "files", "objects"),
+)
+def unreadable_objects(spark, d):
+    rows = rec.examined(t.document(spark, d), t.files(spark, d), _with_errors(spark, d))
+    return rec.document_defects(rows).where("kind = 'unreadable_object'")

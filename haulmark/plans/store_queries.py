@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haulmark.functions import text as fn
-from haulmark.operators import access, enrich, planning
+from haulmark.functions.text import WHITE_SPACE
+from haulmark.operators import access, enrich, governor, planning
 from haulmark.plans.registry import query
 from haulmark.plans.views import TEXT, sql
 from haulmark.sources import tables as t
@@ -138,3 +139,125 @@ def document_upsert_latest(spark, d):
     old = t.files(spark, d).select(F.col("id").alias("source_id"), "filename")
     new = t.table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.concat(F.lit("v"), "event_id").alias("filename"), "event_id")
     return access.upsert_latest(old, new, "source_id", F.col("event_id"))
+
+
+@query("document_page", sql("SELECT source_id, checksum_sha256, ocr_text, object_key FROM document WHERE source_id > 100 ORDER BY source_id LIMIT 500", "document"))
+def document_page(spark, d):
+    return access.page_after(t.document(spark, d), 100, 500, "source_id", ("checksum_sha256", "ocr_text", "object_key"))
+
+
+@query("ledger_page", sql("SELECT source_id FROM ledger WHERE source_id > 100 ORDER BY source_id LIMIT 500", "ledger"))
+def ledger_page(spark, d):
+    return access.page_after(t.ledger(spark, d), 100, 500, "source_id")
+
+
+@query(
+    "build_insert",
+    sql(
+        f"""WITH given AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN chr(160) || '  ' ELSE ' ' || chr(9) || 'my file ' || id || chr(10) END AS name,
+  CASE WHEN id % 11 <> 0 THEN content END AS text FROM files)
+SELECT id, coalesce(nullif(regexp_replace(regexp_replace(name, '^{WHITE_SPACE}', ''), '{WHITE_SPACE}$', ''), ''), 'upload-' || {t.AS_OF * 1000} || '.txt') AS filename,
+  'text/plain' AS content_type, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::INTEGER AS byte_size FROM given""",
+        "files",
+    ),
+)
+def build_insert(spark, d):
+    i = F.col("id")
+    blank = F.lit("\u00a0  ")
+    name = F.when(i % 7 == 0, F.lit(None)).when(i % 5 == 0, blank).otherwise(F.concat(F.lit(" \tmy file "), i.cast("string"), F.lit("\n")))
+    given = t.files(spark, d).select("id", name.alias("name"), F.when(i % 11 != 0, F.col("content").cast("string")).alias("text"))
+    rows = given.select("id", *fn.upload(F.col("name"), F.col("text"), t.as_of()))
+    return rows.select("id", "filename", "content_type", fn.sha256_hex(F.col("content")).alias("sha256"), "byte_size")
+
+
+@query(
+    "vendor_requests",
+    sql(
+        """WITH given AS (SELECT id, CASE WHEN id % 17 = 0 THEN '' WHEN id % 19 = 0 THEN NULL ELSE content END AS text FROM files)
+SELECT id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::INTEGER AS byte_size, coalesce(text, '') <> '' AS processable FROM given""",
+        "files",
+    ),
+)
+def vendor_requests(spark, d):
+    i = F.col("id")
+    plain = F.base64(F.col("content"))
+    other = F.translate(F.regexp_replace(plain, "=+$", ""), "+/", "-_")  # the other alphabet, without padding
+    text = F.when(i % 17 == 0, "").when(i % 19 == 0, F.lit(None)).when(i % 2 == 0, other).otherwise(plain)
+    rows = enrich.requests(t.files(spark, d).select("id", text.alias("contentBase64")))
+    return rows.select("id", fn.sha256_hex(F.col("content")).alias("sha256"), F.octet_length("content").alias("byte_size"), "processable")
+
+
+@query(
+    "ack_messages",
+    sql(
+        """WITH ids AS (SELECT id, (id - 1) // 1000 * 1000 + 1 AS range_start, row_number() OVER (PARTITION BY (id - 1) // 1000 ORDER BY id) - 1 AS n FROM files),
+m AS (SELECT range_start || ':' || (n // 3) AS message, CASE WHEN n // 3 % 2 = 0 THEN 'cdc' ELSE 'backfill' END AS lane, id FROM ids)
+SELECT message, m.lane, count(*) FILTER (status NOT IN ('DONE', 'FAILED_PERMANENT')) = 0 AS ack,
+  CASE WHEN count(*) FILTER (status NOT IN ('DONE', 'FAILED_PERMANENT')) > 0 THEN CASE m.lane WHEN 'cdc' THEN 10 ELSE 30 END END::INTEGER AS redeliver_s
+FROM m LEFT JOIN state ON state.source_id = m.id AND m.id % 7 <> 0 GROUP BY message, m.lane""",
+        "files", "state",
+    ),
+)
+def ack_messages(spark, d):
+    found = planning.batches(t.files(spark, d), size=3)
+    lane = F.when(F.col("batch") % 2 == 0, "cdc").otherwise("backfill")
+    messages = found.select(F.concat_ws(":", "range_start", "batch").alias("message"), lane.alias("lane"), "sourceIds")
+    return enrich.acknowledged(messages, t.state(spark, d).where("source_id % 7 <> 0"))
+
+
+@query(
+    "range_lifecycle",
+    sql(
+        f"""WITH r AS (SELECT unnest(range(1, (SELECT max(id) FROM files) + 1, 100)) AS range_start),
+old AS (SELECT range_start, range_start % 500 = 1 AS known, CASE WHEN range_start % 1000 = 1 THEN 'CLAIMED' ELSE 'DONE' END AS status FROM r)
+SELECT range_start, range_start + 99 AS range_end, CASE WHEN range_start % 300 = 1 THEN 'DONE' WHEN known AND status = 'DONE' THEN 'DONE' ELSE 'CLAIMED' END AS status,
+  CASE WHEN NOT known OR status = 'CLAIMED' THEN {t.AS_OF}::BIGINT END AS claimed_s FROM old""",
+        "files",
+    ),
+)
+def range_lifecycle(spark, d):
+    now, top = t.as_of(), access.max_id(t.files(spark, d))
+    start = F.col("range_start")
+    old = planning.ranges(top, 100).where("range_start % 500 = 1")
+    old = old.withColumn("status", F.when(start % 1000 == 1, "CLAIMED").otherwise("DONE"))
+    old = old.withColumn("claimed_at", F.when(F.col("status") == "CLAIMED", now - F.expr("INTERVAL 301 SECONDS")))
+    claimed = planning.claim_all(planning.reap_expired(planning.plan(old, top, 100), now), now)
+    done = planning.mark_range_done(claimed, claimed.where("range_start % 300 = 1"))
+    return done.select("range_start", "range_end", "status", F.unix_seconds("claimed_at").alias("claimed_s"))
+
+
+@query(
+    "finite_number",
+    sql(
+        "SELECT id, CASE id % 6 WHEN 0 THEN 0 WHEN 3 THEN id / 4 WHEN 4 THEN id * 1000 ELSE -1 END::DOUBLE AS n FROM files",
+        "files",
+    ),
+)
+def finite_number(spark, d):
+    i = F.col("id")
+    raw = F.when(i % 6 == 0, F.lit(None)).when(i % 6 == 1, "NaN").when(i % 6 == 2, "Infinity").when(i % 6 == 3, (i / 4).cast("string")).when(i % 6 == 4, F.concat(i.cast("string"), F.lit("e3"))).otherwise("words")
+    return t.files(spark, d).select("id", fn.to_finite_number(raw, -1).alias("n"))
+
+
+def _calls(spark, d):
+    """The events as calls, an hour of them in a second."""
+    e = t.table(spark, d, "events")
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600).cast("long"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("vendor"), F.when(F.col("user_id") % 2 == 0, "cdc").otherwise("backfill").alias("lane"), at.alias("at"), (F.col("event_id") % 7 < 3).alias("transient"))
+
+
+@query(
+    "rate_limiter_sim",
+    """WITH calls AS (SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'cdc' ELSE 'backfill' END AS lane, epoch_us(ts) // 3600 AS t FROM events),
+own AS (SELECT *, t // 1000000 AS second, row_number() OVER (PARTITION BY t // 1000000, lane ORDER BY t, id) AS n FROM calls),
+fits AS (SELECT *, n <= CASE lane WHEN 'cdc' THEN 10 ELSE 8 END AS f FROM own)
+SELECT id, lane, second, f AND sum(f::INTEGER) OVER (PARTITION BY second ORDER BY t, id ROWS UNBOUNDED PRECEDING) <= 10 AS granted FROM fits""",
+)
+def rate_limiter_sim(spark, d):
+    return governor.limited(_calls(spark, d), 10, 20)
+
+
+@query("breaker_sim")
+def breaker_sim(spark, d):
+    """A sequential fold, for which there is no SQL; tested against a replay."""
+    return governor.broken(_calls(spark, d))

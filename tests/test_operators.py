@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haulmark import schemas
 from haulmark.functions import limits
 from haulmark.functions import text as fn
-from haulmark.operators import access, analytics, cdc, enrich, ledger, planning, reconcile
+from haulmark.operators import access, analytics, cdc, enrich, governor, ledger, planning, reconcile
 from haulmark.operators.enrich import VendorError
 from haulmark.operators.governor import Breaker, LaneLimiter, delay_ms, governed
 from haulmark.streaming.changes import advance
@@ -248,3 +248,116 @@ def test_upsert_takes_the_newest(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c", 5), (2, "d", 4), (3, "e", 1)], "k long, v string, n long")
     assert sorted(map(tuple, access.upsert_latest(old, new, "k", F.col("n")).collect())) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def _calls(spark, n, seconds):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["cdc", "backfill", "backfill"]), rng.randrange(seconds * 1_000_000), rng.randrange(3), rng.random() < 0.5) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, lane string, t long, vendor long, transient boolean")
+    return rows, df.withColumn("at", F.timestamp_micros("t"))
+
+
+def test_limited_equals_the_limiter(spark):
+    rows, df = _calls(spark, 1500, 12)
+    for rate, share in ((100, 20), (30, 0), (7, 100), (1000, 50)):
+        limiter = governor.LaneLimiter(rate, share)
+        want = {i: limiter.try_acquire(lane, t / 1e6) for i, lane, t, *_ in sorted(rows, key=lambda r: (r[2], r[0]))}
+        assert {r.id: r.granted for r in governor.limited(df, rate, share).collect()} == want
+
+
+def test_broken_equals_the_breaker(spark):
+    rows, df = _calls(spark, 600, 90)
+    want, breakers = {}, {v: governor.Breaker() for v in range(3)}
+    for i, _, t, vendor, transient in sorted(rows, key=lambda r: (r[2], r[0])):
+        b = breakers[vendor]
+        if permitted := b.permits(t / 1e6):
+            b.record(transient, t / 1e6)
+        want[i] = (permitted, b.state)
+    assert {r.id: (r.permitted, r.state) for r in governor.broken(df).collect()} == want
+    assert {s for _, s in want.values()} == {"OPEN", "CLOSED", "HALF_OPEN"} or {s for _, s in want.values()} == {"OPEN", "CLOSED"}
+
+
+def test_governor_waits_for_permits_and_pauses_lanes():
+    now, waits, told = [100.25], [], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    class Lane:
+        def __init__(self):
+            self.on = True
+
+        def stop(self):
+            self.on = False
+
+    lanes = []
+    control = governor.LaneControl({lane: lambda: lanes.append(Lane()) or lanes[-1] for lane in ("cdc", "backfill")}, told.append)
+    g = governor.Governor(governor.LaneLimiter(2, 20), governor.Breaker(told=control), lambda: now[0], sleep, attempts=3, base_ms=0)
+    assert [g.execute("cdc", lambda: 1) for _ in range(3)] == [1, 1, 1] and waits == [0.75]
+
+    def fail():
+        raise enrich.VendorError("TRANSIENT")
+
+    for _ in range(3):
+        with pytest.raises(enrich.VendorError):
+            g.execute("cdc", fail)
+    assert g.breaker.state == "OPEN" and told == ["BREAKER_OPEN"] and control.running == {} and not any(x.on for x in lanes)
+    with pytest.raises(enrich.VendorError):
+        g.execute("cdc", lambda: 1)
+    now[0] += governor.OPEN_S
+    assert g.execute("backfill", lambda: 2) == 2
+    assert told == ["BREAKER_OPEN", "BREAKER_CLOSED"] and sorted(control.running) == ["backfill", "cdc"] and sum(x.on for x in lanes) == 2
+
+
+def test_lanes_of_streaming_queries(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+
+    def begin():
+        rows = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        return rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").start()
+
+    control = governor.LaneControl({"cdc": begin}, lambda _: None)
+    control.running["cdc"].processAllAvailable()
+    control("OPEN")
+    assert not spark.streams.active
+    spark.range(10, 15).write.mode("append").parquet(f"{tmp_path}/in")
+    control("HALF_OPEN")
+    control.running["cdc"].processAllAvailable()
+    control("OPEN")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(15))
+
+
+def test_vendor_calls_through_a_governor(spark):
+    files = spark.createDataFrame([(i, bytearray(f"text {i}".encode())) for i in range(1, 9)], "id long, content binary").coalesce(1)
+
+    def make():
+        calls = []
+
+        def vendor_fails_once(call):
+            def attempt():
+                calls.append(1)
+                if len(calls) == 1:
+                    raise enrich.VendorError("TRANSIENT")
+                return call()
+
+            return governor.Governor(governor.LaneLimiter(), governor.Breaker(), lambda: 0.0, lambda _: None).execute("cdc", attempt)
+
+        return vendor_fails_once
+
+    rows = enrich.call_vendor(files, lambda batch: {i: c.decode() for i, c in batch}, 4, make).collect()
+    assert {r.outcome for r in rows} == {"done"} and len(rows) == 8
+    real = enrich.call_vendor(files, lambda batch: {i: c.decode() for i, c in batch}, 4, governor.for_lane("backfill", 2)).collect()
+    assert {(r.source_id, r.text) for r in real} == {(i, f"text {i}") for i in range(1, 9)}
+
+
+def test_plans_of_ranges(spark):
+    empty = spark.createDataFrame([], schemas.CHECKPOINT)
+    first = planning.plan(empty, planning.max_of(spark, 2500))
+    assert sorted((r.range_start, r.range_end, r.status) for r in first.collect()) == [(1, 1000, "PENDING"), (1001, 2000, "PENDING"), (2001, 3000, "PENDING")]
+    done = planning.mark_range_done(first, first.where("range_start = 1"))
+    again = planning.plan(done, planning.max_of(spark, 3001))
+    assert sorted((r.range_start, r.status) for r in again.collect()) == [(1, "DONE"), (1001, "PENDING"), (2001, "PENDING"), (3001, "PENDING")]
+    assert planning.plan(empty, planning.max_of(spark, 0)).collect() == []
+    files = spark.range(1, 3002)
+    assert planning.in_ranges(files, again.where("range_start = 3001")).collect() == [(3001,)]

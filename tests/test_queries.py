@@ -20,4 +20,4 @@ def test_query_equals_sql(spark, data, name):
 
 
 def test_every_query_is_sql_or_known():
-    assert set(QUERIES) - set(ORACLES) <= set()
+    assert set(QUERIES) - set(ORACLES) <= {"breaker_sim"}
