@@ -8,6 +8,7 @@ from haulmark.operators import cdc
 from haulmark.plans.registry import query
 from haulmark.plans.views import sql
 from haulmark.sources import tables as t
+from haulmark.sources.folders import new_folder
 
 
 @query("cdc_route", sql("SELECT seq, route FROM routed", "routed"))
@@ -36,13 +37,6 @@ def cdc_created_at(spark, d):
     return rows.select("seq", "id", F.unix_seconds("created_at").alias("created_s"))
 
 
-def _new_folder(spark, label):
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/haulmark-checkpoints"
-    return f"{root.rstrip('/')}/haulmark-{label}-{uuid.uuid4().hex}"
-
-
 @query(
     "cdc_stream_fold",
     sql("""WITH g AS (SELECT *, max(CASE WHEN op = 'd' THEN seq END) OVER (PARTITION BY id) AS gone FROM changes)
@@ -53,7 +47,7 @@ def cdc_stream_fold(spark, d):
     """The same fold by the streaming job: the log comes in two parts, and the job is started anew for the second."""
     from haulmark.streaming import changes
 
-    folder, log = _new_folder(spark, "stream"), t.change_log(spark, d)
+    folder, log = new_folder(spark, "stream"), t.change_log(spark, d)
     half = (log.agg(F.max("seq")).first()[0] or 0) // 2
     for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
         part.write.mode("append").parquet(f"{folder}/log")
