@@ -167,7 +167,8 @@ def pack_documents(
     return (
         docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .withColumn("group_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(groups)))
+        .withColumn("row", F.monotonically_increasing_id())  # its place in the input: so copies of a row don't share a group
+        .withColumn("group_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "row"), F.lit(groups)))
         .select("doc_id", "text", "group_id", "tie")
         .mapInArrow(frugal(cut), cut_schema)
         .repartition("group_id")

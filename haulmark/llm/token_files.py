@@ -117,10 +117,10 @@ def write_token_files(
         if ids:
             yield flush()
 
-    order = ("doc_id", "_tie")
+    order = ("doc_id", "_tie", "_row")  # the last, a row's place in the input, lets copies of a row stand in several parts
     (
         docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-        .withColumn("_tie", F.xxhash64("text"))
+        .withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")

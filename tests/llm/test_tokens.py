@@ -124,3 +124,17 @@ def test_packing_covers_each_id_once(spark):
         for start, length, crc, n in want:
             assert n == len(ids) and crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
     assert pack_documents(spark.createDataFrame([], SCHEMA), BYTE, "leading", 0).collect() == []
+
+
+def test_copies_of_a_row_are_split(spark, monkeypatch):
+    """A row repeated many times doesn't meet in one group or part."""
+    rows = [(7, "the same words over and over", "x")] * 4_000 + [(i, f"text {i}", "x") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    pieces = pack_documents(docs, BYTE, "leading", 0, group_docs=200).where("doc_id = 7")
+    share = pieces.groupBy("group_id").count().collect()
+    assert len(share) >= 15 and max(r["count"] for r in share) < 600
+    path = new_folder(spark, "test")
+    write_token_files(docs, path, WORD, "dropped", 2)
+    got = sorted(map(tuple, read_token_files(spark, path).select("start", "doc_id", "n_tokens").collect()))
+    assert len(got) == len(rows) and [g[1] for g in got] == sorted(r[0] for r in rows)
+    assert all(a + n == b for (a, _, n), (b, *_) in zip(got, got[1:], strict=False))
