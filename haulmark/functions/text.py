@@ -174,3 +174,17 @@ def decoded(base64: Column) -> Column:
     whole = F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0)
     cut = F.substring(plain, F.lit(1), whole)
     return F.unbase64(F.rpad(cut, (F.ceil(whole / 4) * 4).cast("int"), F.lit("=")))
+
+
+def clamped_limit(raw: Column, default: int, most: int) -> Column:
+    """The leading whole number of a text, the default if there is none above 0, most at most."""
+    digits = F.regexp_extract(F.coalesce(raw, F.lit("")), r"^\s*([+-]?[0-9]+)", 1)
+    value = F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0))
+    return F.when(value > 0, F.least(value, F.lit(most))).otherwise(default).cast("int")
+
+
+def bulk_verdict(raw: Column, most: int) -> Column:
+    """Of what is given for a count: ok, not whole (or not positive, or no number) or too many."""
+    value = raw.try_cast("double")
+    whole = value.isNotNull() & ~F.isnan(value) & (value > 0) & (value == F.floor(value))
+    return F.when(~whole, "not whole").when(value > most, "too many").otherwise("ok")

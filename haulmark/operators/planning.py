@@ -49,6 +49,11 @@ def mark_range_done(checkpoints: DataFrame, done: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("done"), "DONE").otherwise(F.col("status"))).drop("done")
 
 
+def messages(found: DataFrame) -> DataFrame:
+    """batches as they are published: (key, value), keyed by the first id so that a batch's redeliveries stay in order."""
+    return found.select(F.element_at("sourceIds", 1).cast("string").alias("key"), F.to_json(F.struct("lane", "sourceIds")).alias("value"))
+
+
 def plan(checkpoints: DataFrame, max_id: DataFrame, size: int = RANGE_SIZE) -> DataFrame:
     """checkpoints with a PENDING row for each range that is new; known ones stay as they are."""
     keys = ["range_start", "range_end"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from haulmark.functions import limits
 from haulmark.functions import text as fn
 from haulmark.functions.text import WHITE_SPACE
 from haulmark.operators import access, enrich, governor, planning
@@ -261,3 +262,85 @@ def rate_limiter_sim(spark, d):
 def breaker_sim(spark, d):
     """A sequential fold, for which there is no SQL; tested against a replay."""
     return governor.broken(_calls(spark, d))
+
+
+@query(
+    "backfill_messages",
+    sql(
+        """WITH n AS (SELECT id, (id - 1) // 1000 AS r, row_number() OVER (PARTITION BY (id - 1) // 1000 ORDER BY id) - 1 AS i FROM files)
+SELECT min(id)::VARCHAR AS key, '{"lane":"backfill","sourceIds":[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']}' AS value FROM n GROUP BY r, i // 25""",
+        "files",
+    ),
+)
+def backfill_messages(spark, d):
+    return planning.messages(planning.batches(t.files(spark, d)))
+
+
+_RAW = "CASE id % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN id::VARCHAR WHEN 3 THEN '-' || id WHEN 4 THEN ' ' || id || ' rows' WHEN 5 THEN 'rows' WHEN 6 THEN id || '.5' ELSE '1e' || id % 5 END"
+
+
+def _raw(i):
+    text = i.cast("string")
+    odd = F.when(i % 8 == 2, text).when(i % 8 == 3, F.concat(F.lit("-"), text)).when(i % 8 == 4, F.concat(F.lit(" "), text, F.lit(" rows"))).when(i % 8 == 5, "rows")
+    rest = F.when(i % 8 == 6, F.concat(text, F.lit(".5"))).when(i % 8 == 7, F.concat(F.lit("1e"), (i % 5).cast("string"))).when(i % 8 == 1, "")
+    return F.coalesce(odd, rest)
+
+
+@query(
+    "clamp_limit",
+    sql(
+        f"""WITH raw AS (SELECT id, {_RAW} AS raw FROM files), n AS (SELECT id, coalesce(try_cast(regexp_extract(raw, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT), 0) AS n FROM raw)
+SELECT id, CASE WHEN n > 0 THEN least(n, 50) ELSE 8 END::INTEGER AS rows FROM n""",
+        "files",
+    ),
+)
+def clamp_limit(spark, d):
+    return t.files(spark, d).select("id", fn.clamped_limit(_raw(F.col("id")), limits.DEFAULT_LIMIT, limits.MAX_LIMIT).alias("rows"))
+
+
+@query(
+    "bulk_verdict",
+    sql(
+        f"""WITH raw AS (SELECT id, try_cast({_RAW} AS DOUBLE) AS n FROM files)
+SELECT id, CASE WHEN n IS NULL OR n <= 0 OR n <> floor(n) THEN 'not whole' WHEN n > 1000 THEN 'too many' ELSE 'ok' END AS verdict FROM raw""",
+        "files",
+    ),
+)
+def bulk_verdict(spark, d):
+    return t.files(spark, d).select("id", fn.bulk_verdict(_raw(F.col("id")), limits.MAX_BULK).alias("verdict"))
+
+
+def _vendor(batch):
+    """Takes no batch with a poisoned file in it, and leaves some files out of its answer."""
+    if any(i % 41 == 0 for i, _ in batch):
+        raise enrich.VendorError("PERMANENT", "Vendor rejected this file")
+    return {i: f"{len(c)} bytes" for i, c in batch if i % 43}
+
+
+@query(
+    "vendor_calls",
+    sql(
+        """SELECT id AS source_id, CASE WHEN id % 41 = 0 THEN 'permanent' WHEN id % 43 = 0 THEN 'retryable' ELSE 'done' END AS outcome,
+  CASE WHEN id % 41 = 0 THEN 'PERMANENT' WHEN id % 43 = 0 THEN 'omitted' ELSE 'fresh' END AS reason, CASE WHEN id % 41 <> 0 AND id % 43 <> 0 THEN strlen(content) || ' bytes' END AS text FROM files""",
+        "files",
+    ),
+)
+def vendor_calls(spark, d):
+    return enrich.call_vendor(t.files(spark, d), _vendor).select("source_id", "outcome", "reason", "text")
+
+
+def _down(batch):
+    if any(i % 5 == 0 for i, _ in batch):
+        raise enrich.VendorError("TRANSIENT" if batch[0][0] % 2 else "RATE_LIMITED", "try later")
+    return {i: "read" for i, _ in batch}
+
+
+@query(
+    "vendor_outage",
+    sql(
+        """SELECT id AS source_id, CASE WHEN id % 5 = 0 THEN 'retryable' ELSE 'done' END AS outcome, CASE WHEN id % 5 <> 0 THEN 'fresh' WHEN id % 2 = 1 THEN 'TRANSIENT' ELSE 'RATE_LIMITED' END AS reason FROM files""",
+        "files",
+    ),
+)
+def vendor_outage(spark, d):
+    return enrich.call_vendor(t.files(spark, d), _down, 1).select("source_id", "outcome", "reason")
