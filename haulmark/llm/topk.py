@@ -2,11 +2,19 @@
 
 Vectors are integers. With M the largest norm, a vector x gets the extra coordinate sqrt(M^2 - |x|^2) and a query 0, so
 that the inner product falls as the Euclidean distance grows. The index keys each vector by its nearest pivot and its
-distance to it, sorted, in chunks: a chunk is a stretch of an annulus, with its least and greatest distance. A block of
-queries visits chunks by rising lower bound (the triangle inequality, from distances to the pivot); a query skips a
-chunk whose bound exceeds its k-th distance so far, and the block stops when all of its queries would.
+distance to it, sorted, in chunks: a chunk is a stretch of an annulus, with its least and greatest distance; GROUP
+neighbouring chunks are what a task reads. Queries come in blocks of neighbours. The search has two rounds:
 
-Equal vectors are one entry that keeps the k + 1 smallest ids, which is all that any query can need.
+1. Each block visits the groups with the least lower bounds (the triangle inequality, from distances to the pivots), by
+   rising bound of their chunks. That gives each query its k-th distance so far.
+2. Bounds alone, without any vector, tell which other groups can hold anything nearer to some query of a block. Only these
+   are visited. A query skips a chunk whose bound exceeds its k-th distance.
+
+In both rounds a task holds one group of the index and the blocks come to it, so that the index is moved once for each
+BLOCKS_A_TASK blocks that need a group, and not once a block.
+
+Equal vectors are one entry that keeps the k + 1 smallest different ids with their repeats, which is all that any query can
+need.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as
 padded with zeros; repeated ids are separate candidates, but no row with the query's own id is one; ties go to the
@@ -22,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import staged
+from haulmark.llm._common import frugal, staged
 
-PIVOTS, CHUNK, QUERY_BLOCK, PER_TASK, MOST_TASKS = 64, 1_024, 1_024, 8, 64
+PIVOTS, CHUNK, GROUP, QUERY_BLOCK, BLOCKS_A_TASK, FIRST = 64, 1_024, 16, 1_024, 64, 2
+
+INDEX = "chunk long, pivot int, lo double, hi double, ids array<long>, offsets array<int>, v binary"
+BLOCK = "block long, ids array<long>, v binary, lo array<double>, hi array<double>"
+FOUND = "block long, query long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
@@ -55,6 +67,11 @@ class Space:
         rest = np.sqrt(np.maximum(0, self.square - (x**2).sum(1)))
         return np.sqrt(np.maximum(0, 2 * self.square - 2 * (x @ self.pivots.T + rest[:, None] * self.rest)))
 
+    def reach(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The distance of a vector with a query's least score; a little more, against rounding."""
+        square = (q.astype(float) ** 2).sum(1)
+        return np.sqrt(np.maximum(0, square + self.square - 2 * least.astype(float))) * (1 + 1e-9) + 1e-6
+
     def of_queries(self, q: np.ndarray) -> np.ndarray:
         q = q.astype(float)
         return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + self.square - 2 * q @ self.pivots.T))
@@ -69,10 +86,10 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+    def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
+        """least: the score that each query's k-th best has at least."""
+        self.ids, self.k, self.least = ids, k, least.copy()
         self.query = self.score = self.other = np.zeros(0, np.int64)
-        self.least = np.full(len(ids), np.iinfo(np.int64).min)
 
     def add(self, queries: np.ndarray, scores: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
         bound = self.least[queries]
@@ -93,20 +110,24 @@ class Best:
         keep = np.arange(len(query)) - first < self.k
         self.query, self.score, self.other = query[keep], score[keep], other[keep]
         full, last = np.bincount(self.query, minlength=len(self.ids)) >= self.k, np.searchsorted(self.query, np.arange(len(self.ids)), "right") - 1
-        self.least[full] = self.score[last[full]]
+        self.least[full] = np.maximum(self.least[full], self.score[last[full]])
 
 
 def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, Space | None, int]:
     """(chunk, pivot, lo, hi, ids, offsets, v): the index, its space and the vectors' width."""
     first = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    entries = staged(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
+    counted = vectors.groupBy("v", "vec_id").agg(F.count("*").alias("copies"))
+    few = counted.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    # of a repeated id k + 1 copies are as many as any query can need
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "copies"))), lambda x: F.array_repeat(x["vec_id"], F.least(x["copies"], F.lit(k + 1)).cast("int"))))
+    entries = staged(few.groupBy("v").agg(each.alias("ids")), "entries")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = entries.agg(F.max(norm), F.max(F.size("v"))).first()
     if top[1] is None:
         return None, None, 0
     width = max(1, top[1])
-    sample = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
+    least = [r.h for r in entries.select(F.xxhash64("v").alias("h")).orderBy("h").limit(PIVOTS).collect()]
+    sample = sorted(entries.select("v").where(F.xxhash64("v").isin(least)).collect(), key=lambda r: r.v)
     pivots = np.array([[*r.v, *[0] * (width - len(r.v))] for r in sample], np.int64)
     space = Space(pivots, top[0])
     keyed = "pivot int, distance double, ids array<long>, v array<long>"
@@ -118,12 +139,12 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, Space | None, in
             cols = [pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), batch.column(1), batch.column(0)]
             yield pa.RecordBatch.from_arrays(cols, ["pivot", "distance", "ids", "v"])
 
-    schema = "chunk long, pivot int, lo double, hi double, ids array<long>, offsets array<int>, v binary"
+    schema = INDEX
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, base = 0, TaskContext.get().partitionId() << 32
+        number, base = 0, TaskContext.get().partitionId() * (GROUP << 32)
         for batch in batches:
             pivot = batch.column(0).to_numpy()
             cuts = [0, *(np.nonzero(np.diff(pivot))[0] + 1).tolist(), len(pivot)]
@@ -138,9 +159,9 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, Space | None, in
                     yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
                     number += 1
 
-    sorted_ = entries.select("v", "ids").mapInArrow(key, keyed)
+    sorted_ = entries.select("v", "ids").mapInArrow(frugal(key), keyed)
     sorted_ = staged(sorted_, "keyed").repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance")
-    return staged(sorted_.mapInArrow(chunks, schema), "index"), space, width
+    return staged(sorted_.mapInArrow(frugal(chunks), schema), "index"), space, width
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -155,8 +176,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             near = space.of_queries(_matrix(batch.column(1), width)).argmin(1)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], ["pivot", "vec_id", "v"])
 
-    block_schema = "block long, ids array<long>, v binary, lo array<double>, hi array<double>"
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -168,58 +187,76 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 d = space.of_queries(q)
                 cols = [base + number, part.column(1).to_pylist(), q.tobytes(), d.min(0).tolist(), d.max(0).tolist()]
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.float64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in block_schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
                 number += 1
 
-    near = staged(queries.mapInArrow(keyed, "pivot int, vec_id long, v array<long>"), "queries")
-    asked = staged(near.repartitionByRange("pivot", "vec_id").sortWithinPartitions("pivot", "vec_id").mapInArrow(blocks, block_schema), "blocks")
-    tasks = min(MOST_TASKS, max(1, index.select("chunk").count() // PER_TASK))
+    near = staged(queries.mapInArrow(frugal(keyed), "pivot int, vec_id long, v array<long>"), "queries")
+    asked = staged(near.repartitionByRange("pivot", "vec_id").sortWithinPartitions("pivot", "vec_id").mapInArrow(frugal(blocks), BLOCK), "blocks")
+    # lower bounds of every block and group, from ranges of distances alone
+    group = F.expr(f"chunk div {GROUP}").alias("group")
+    rings = index.select(group, "pivot", "lo", "hi").groupBy("group", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     ranges = asked.select("block", F.posexplode(F.zip_with("lo", "hi", lambda x, y: F.struct(x.alias("q_lo"), y.alias("q_hi")))).alias("pivot", "r")).select("block", "pivot", "r.*")
     bound = F.greatest(F.lit(0.0), F.col("q_lo") - F.col("hi"), F.col("lo") - F.col("q_hi"))
-    task = F.pmod(F.xxhash64("chunk"), F.lit(tasks)).cast("int").alias("task")
-    visits = index.join(ranges, "pivot").select("block", task, bound.alias("bound"), "pivot", "lo", "hi", "ids", "offsets", "v")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    each = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
-    start = [F.lit(-1.0).alias("bound"), none("int", "pivot"), none("double", "lo"), none("double", "hi")]
-    heads = asked.select("block", each, *start, "ids", none("array<int>", "offsets"), "v")
+    pairs = staged(rings.join(ranges, "pivot").select("block", "group", bound.alias("bound")).groupBy("block", "group").agg(F.min("bound").alias("bound")), "pairs")
+    nearest = F.row_number().over(Window.partitionBy("block").orderBy("bound", "group"))
+    first = staged(pairs.withColumn("n", nearest).where(F.col("n") <= FIRST).select("block", "group"), "first")
+    none = asked.select("block", F.lit(None).cast("binary").alias("least"))
+    found = staged(_visit(index, asked.join(none, "block"), first, space, width, k), "found")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, over = None, None, False
+    place = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
+    kth = found.withColumn("n", F.row_number().over(place)).where(F.col("n") == k).groupBy("block").agg(F.collect_list(F.struct("query", "score")).alias("kth"))
 
-        def told() -> pa.RecordBatch:
-            cols = [best.ids[best.query], best.other, best.score]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "vec_id", "score"])
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, v, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q = np.frombuffer(v, np.int64).reshape(-1, width)
+                least = np.full(len(q), np.iinfo(np.int64).min)
+                for x in known or ():
+                    least[x["query"]] = x["score"]
+                cols = [pa.array([b], pa.int64()), pa.array([least.tobytes()], pa.binary()), pa.array([float(space.reach(q, least).max(initial=0))], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "least", "reach"])
+
+    known = staged(asked.select("block", "v").join(kth, "block", "left").mapInArrow(frugal(reaches), "block long, least binary, reach double"), "reaches")
+    rest = pairs.join(known.select("block", "reach"), "block").where("bound <= reach").join(first, ["block", "group"], "left_anti").select("block", "group")
+    more = _visit(index, asked.join(known.select("block", "least"), "block"), rest, space, width, k)
+    order = Window.partitionBy("query_id", "block", "query").orderBy(F.desc("score"), "vec_id")
+    best = found.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _visit(index: DataFrame, asked: DataFrame, pairs: DataFrame, space: Space, width: int, k: int) -> DataFrame:
+    """What each block of queries (block, ids, v, least) finds in the groups that pairs (block, group) names: (block, query,
+    query_id, vec_id, score), at most k a query and group."""
+    part = F.expr(f"cast(row_number() over (partition by group order by block) as bigint) div {BLOCKS_A_TASK}").alias("part")
+    dealt = staged(pairs.select("block", "group", part), "visits")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own = index.withColumn("group", F.expr(f"chunk div {GROUP}")).join(dealt.select("group", "part").distinct(), "group")
+    chunks = own.select("group", "part", F.lit(-1).cast("long").alias("block"), "pivot", "lo", "hi", "ids", "offsets", "v", none("binary", "least"))
+    heads = dealt.join(asked, "block").select("group", "part", "block", none("int", "pivot"), none("double", "lo"), none("double", "hi"), "ids", none("array<int>", "offsets"), "v", "least")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for r in range(batch.num_rows):
                 at = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
-                low = batch.column(2)[r].as_py()
-                if low < 0 or at != now:
-                    if best is not None:
-                        yield told()
-                    now, over = at, False
-                    q = np.frombuffer(batch.column(8)[r].as_py(), np.int64).reshape(-1, width)
-                    best, d = Best(np.array(batch.column(6)[r].as_py(), np.int64), k), space.of_queries(q)
-                    square = (q.astype(float) ** 2).sum(1)
-                    continue
-                if over:
-                    continue
-                # the k-th distance of each query; a little more, against rounding
-                reach = np.sqrt(np.maximum(0, square + space.square - 2 * best.least.astype(float))) * (1 + 1e-9) + 1e-6
-                if low > reach.max():
-                    over = True
+                if at != now:
+                    now, held = at, []
+                block, pivot, lo, hi, ids, offsets, v, least = (batch.column(c)[r].as_py() for c in range(2, 10))
+                rows, ids = np.frombuffer(v, np.int64).reshape(-1, width), np.array(ids, np.int64)
+                if block < 0:
+                    held.append((pivot, lo, hi, ids, np.array(offsets, np.int64), rows))
                     continue
-                own = d[:, batch.column(3)[r].as_py()]
-                gap = np.maximum(own - batch.column(5)[r].as_py(), batch.column(4)[r].as_py() - own)
-                open_ = np.nonzero(gap <= reach)[0]
-                if len(open_):
-                    x = np.frombuffer(batch.column(8)[r].as_py(), np.int64).reshape(-1, width)
-                    ids, offsets = (np.array(batch.column(c)[r].as_py(), np.int64) for c in (6, 7))
-                    best.add(open_, products(q[open_], x), offsets, ids)
-        if best is not None:
-            yield told()
-
-    visits = heads.union(visits).repartition("block", "task").sortWithinPartitions("block", "task", "bound")
-    found = visits.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                d = space.of_queries(rows)
+                start = np.frombuffer(least, np.int64) if least is not None else np.full(len(rows), np.iinfo(np.int64).min)
+                best = Best(ids, k, start)
+                gaps = [np.maximum(0, np.maximum(d[:, p] - h, lo_ - d[:, p])) for p, lo_, h, *_ in held]
+                for c in sorted(range(len(held)), key=lambda c: gaps[c].min(initial=np.inf)):
+                    open_ = np.nonzero(gaps[c] <= space.reach(rows, best.least))[0]
+                    if len(open_):
+                        _, _, _, others, offs, x = held[c]
+                        best.add(open_, products(rows[open_], x), offs, others)
+                cols = [np.full(len(best.query), block), best.query, ids[best.query], best.other, best.score]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), [c.split()[0] for c in FOUND.split(", ")])
+
+    visits = chunks.union(heads).repartition("group", "part").sortWithinPartitions("group", "part", "block")
+    return visits.mapInArrow(frugal(search), FOUND)

@@ -26,7 +26,8 @@ def brute(rows, k):
 
 
 def test_ties_repeats_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr("haulmark.llm.topk.CHUNK", 16)
+    for name, size in (("CHUNK", 16), ("GROUP", 2), ("QUERY_BLOCK", 3), ("BLOCKS_A_TASK", 2)):
+        monkeypatch.setattr(f"haulmark.llm.topk.{name}", size)
     rng = random.Random(4)
     data = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(700)]
     data += [(i, [0.5, 0.5, 0.5]) for i in range(700, 1_000)] + [(1_000, [0.25]), (1_001, []), (1_100, [9.0, -9.0, 3.3])]
@@ -44,3 +45,36 @@ def test_few_and_no_vectors(spark):
     none = integer_vectors(spark.createDataFrame([], KIND), 2)
     assert top_k(none, none, 10).collect() == []
     assert top_k(v, v.where("vec_id > 99"), 10).collect() == []
+
+
+def test_a_query_id_repeated_often(spark):
+    data = [(0, [1.0, 0.0])] * 14 + [(i, [1.0, 0.0]) for i in range(1, 16)] + [(7, [1.0, 0.0])] * 2 + [(50, [0.0, 2.0])]
+    v = integer_vectors(spark.createDataFrame([(*r, "", "") for r in data], KIND), 4)
+    got = sorted(map(tuple, top_k(v, v.where("vec_id = 0").limit(1), 10).collect()))
+    assert got == [(0, r + 1, i, 16) for r, i in enumerate([1, 2, 3, 4, 5, 6, 7, 7, 7, 8])]
+
+
+def test_bounds_leave_far_groups_out(spark, monkeypatch):
+    from haulmark.llm import topk
+
+    for name, size in (("CHUNK", 8), ("GROUP", 1), ("QUERY_BLOCK", 4), ("PIVOTS", 16)):
+        monkeypatch.setattr(f"haulmark.llm.topk.{name}", size)
+    rng = random.Random(6)
+    data = []
+    for i in range(600):  # clusters far apart on a sphere: most groups can't hold a neighbour
+        c = [0.0] * 12
+        c[i % 12] = 10.0
+        data.append((i, [x + rng.uniform(-0.1, 0.1) for x in c]))
+    v = integer_vectors(spark.createDataFrame([(*r, "", "") for r in data], KIND), 1024).cache()
+    seen, visit = [], topk._visit
+
+    def counted(index, asked, pairs, *rest):
+        seen.append(pairs.count())
+        return visit(index, asked, pairs, *rest)
+
+    monkeypatch.setattr(topk, "_visit", counted)
+    got = sorted(map(tuple, top_k(v, v.where("vec_id % 100 = 0"), 3).collect()))
+    rows = [(r.vec_id, list(r.v)) for r in v.collect()]
+    assert got == brute(rows, 3)
+    every = (6 / 4 + 1) * 600 / 8
+    assert sum(seen) < every
