@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches, staged, text_or_empty
+from haulmark.llm._common import frugal, small_batches, staged, text_or_empty
 from haulmark.llm.bwt import repeated_symbols
 
 GRAM, COLLECTION, BATCH, CUT = 32, 256, 2_000, 24
 #: Starts of very long texts are taken in stretches, which bounds memory; position bits in a packed hash.
 STRETCH, PLACE = 1 << 22, 24
+#: Up to so many documents (16 bytes each) whose bytes are wanted are broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 200_000
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 DOC = ["doc", "tie"]
@@ -109,7 +111,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
                         rows = []
             yield _table(rows, kinds, _names(SEGMENT))
 
-    return keyed(docs).select("doc", "tie", "text").mapInArrow(cut, SEGMENT)
+    return keyed(docs).select("doc", "tie", "text").mapInArrow(frugal(cut), SEGMENT)
 
 
 def _uniform():
@@ -121,7 +123,11 @@ def _fetch(contents: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     wanted = contents.groupBy("rep.doc", "rep.tie").agg(
         F.collect_list(F.struct("key", "c1", "c2", "rep.at", "rep.n", "rep.anchor")).alias("w")
     )
-    texts = keyed(docs).select("doc", "tie", "text").dropDuplicates(DOC)
+    texts = keyed(docs).select("doc", "tie", "text")
+    keys = staged(wanted.select(*DOC), "wanted")
+    if keys.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(keys), DOC, "left_semi")
+    texts = texts.dropDuplicates(DOC)
     schema = "key long, c1 long, c2 long, anchor int, raw binary"
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +139,7 @@ def _fetch(contents: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 for i in range(0, len(rows), 2_000):
                     yield _table(rows[i : i + 2_000], kinds, _names(schema))
 
-    return texts.join(wanted, DOC).select("text", "w").mapInArrow(slices, schema)
+    return texts.join(wanted, DOC).select("text", "w").mapInArrow(frugal(slices), schema)
 
 
 HIT = "key long, c1 long, c2 long, lo int, hi int"
@@ -173,7 +179,7 @@ def _by_transform(cuts: DataFrame, length: int) -> DataFrame:
             yield solve(rows)
 
     dealt = cuts.select("key", "c1", "c2", "lo", "hi", "core", "k1", "k2", "raw").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(find, HIT)
+    return dealt.mapInArrow(frugal(find), HIT)
 
 
 def _by_cuts(contents: DataFrame, length: int) -> DataFrame:
@@ -217,14 +223,14 @@ def _by_cuts(contents: DataFrame, length: int) -> DataFrame:
                 yield table(rows[i : i + 8_000], digests[i : i + 8_000], _names(base))
 
     wide = contents.select("key", "c1", "c2", "raw")
-    first = staged(contents.select("key", "c1", "c2", "anchor", "raw").mapInArrow(cut, schema), "cuts")
+    first = staged(contents.select("key", "c1", "c2", "anchor", "raw").mapInArrow(frugal(cut), schema), "cuts")
     same = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
     shared = staged(first.groupBy("k1", "k2").agg(F.count("*").alias("m"), same.alias("same")).where("m > 1"), "shared")
     joined = first.join(shared, ["k1", "k2"])
     open_ = staged(joined.where(~F.col("same")).select("key", "c1", "c2", "lo", "hi", "core", "k1", "k2", "m"), "open")
     few = open_.where(F.col("m") <= COLLECTION).join(wide, ["key", "c1", "c2"])
     many = open_.where(F.col("m") > COLLECTION).join(wide, ["key", "c1", "c2"]).select("key", "c1", "c2", "lo", "hi", "core", "raw")
-    single = staged(many.mapInArrow(each, base), "single")
+    single = staged(many.mapInArrow(frugal(each), base), "single")
     again = staged(single.groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1"), "again")
     found = single.join(again, ["k1", "k2"]).select("key", "c1", "c2", "lo", "hi")
     return joined.where("same").select("key", "c1", "c2", "lo", "hi").union(found).union(_by_transform(few, length))
@@ -273,5 +279,5 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         keyed(docs)
         .join(spans, DOC, "left")
         .select("doc_id", "text", "spans")
-        .mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+        .mapInArrow(frugal(cut), "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
     )

@@ -80,3 +80,26 @@ def test_equals_brute_force(spark, monkeypatch, collection):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_planted_repeats_of_400_bytes_and_more_go(spark, tmp_path):
+    """Of passages of over 50 words those of 400 bytes and more are removed in every document; shorter ones can't be."""
+    rng = random.Random(31)
+    prose = lambda n: " ".join("".join(rng.choice("abdeghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages = [prose(n) for n in (51, 55, 60, 65, 70, 80, 120, 200)]
+    rows, where = [], {}
+    for i in range(120):
+        own, passage = [prose(rng.randint(20, 200)), prose(rng.randint(20, 200))], rng.randrange(12)
+        if passage < len(passages):
+            own.insert(1, passages[passage])
+            where[i] = passage
+        rows.append((i, " ".join(own), "", ""))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    from haulmark.llm.q_suffix_dedup import op10_suffix_dedup
+
+    got = {r.doc_id: r for r in op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, r in got.items():
+        long = i in where and len(passages[where[i]]) >= 400
+        assert r.removed == (r.n_removed > 0) == long
+        assert not long or len(passages[where[i]]) <= r.n_removed <= len(passages[where[i]]) + 8
+    assert {len(p) >= 400 for p in passages} == {True, False}
