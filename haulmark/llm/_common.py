@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.sources.folders import new_folder, remove_staged, shared_dir
+
+__all__ = ["frugal", "give_back", "new_folder", "remove_staged", "shared_dir", "small_batches", "staged", "table", "text_or_empty"]
+
 #: Of one Arrow batch; a row with more is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -19,25 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, as in tests, a local session gets an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/haulmark-checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/haulmark-{label}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, and what Python computed
-    is not computed again. Survives lost executors, unlike a local checkpoint."""
+    is not computed again. Survives lost executors, unlike a local checkpoint. remove_staged() takes such tables away."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

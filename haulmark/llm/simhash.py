@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import small_batches, staged, text_or_empty
+from haulmark.llm._common import frugal, small_batches, staged, text_or_empty
 from haulmark.llm.components import components
 
 BLOCK = 1_024
@@ -110,10 +110,9 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(np.uint64)[0])
 
 
-def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one anchor's fingerprints. Few links: each of them. Dense sets: a star for each component, or with
-    ``leaders`` (no query asks for it: it loses links that a further condition splits) each member with the first leader
-    near it, leaders being further apart than the distance."""
+def links_in(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one anchor's fingerprints that connect what links connect. Few links: each of them. Dense sets: a star for
+    each component."""
     n, left, right = len(fp), [], []
     for i in range(0, n, 256):
         near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, i:]) <= distance
@@ -124,29 +123,19 @@ def links_in(fp: np.ndarray, distance: int, leaders: bool) -> tuple[np.ndarray,
         if sum(map(len, left)) > 8 * n:
             break
     else:
-        return np.concatenate(left), np.concatenate(right)
+        return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
     left, right = [], []
     rest = np.arange(n)
-    if leaders:
-        while len(rest):
-            near = np.bitwise_count(fp[rest[0]] ^ fp[rest]) <= distance
-            left.append(np.full(near.sum(), rest[0]))
-            right.append(rest[near])
-            rest = rest[~near]
-    else:
-        while len(rest):
-            seed, front, rest = rest[0], rest[:1], rest[1:]
-            while len(front) and len(rest):
-                hit = np.zeros(len(rest), bool)
-                for i in range(0, len(front), 256):
-                    hit |= (np.bitwise_count(fp[front[i : i + 256], None] ^ fp[None, rest]) <= distance).any(0)
-                front, rest = rest[hit], rest[~hit]
-                left.append(np.full(len(front), seed))
-                right.append(front)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right = np.concatenate(left), np.concatenate(right)
-    return left[left != right], right[left != right]
+    while len(rest):
+        seed, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), bool)
+            for i in range(0, len(front), 256):
+                hit |= (np.bitwise_count(fp[front[i : i + 256], None] ^ fp[None, rest]) <= distance).any(0)
+            front, rest = rest[hit], rest[~hit]
+            left.append(np.full(len(front), seed))
+            right.append(front)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def near_in(fp: np.ndarray, distance: int, ok: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +227,7 @@ def fingerprints(docs: DataFrame, words: int, views: int = 1, sketches: bool = F
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "fps", "node", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    return rows.mapInArrow(compute, "doc_id long, tie long, fps array<long>, node long, sketch array<long>")
+    return rows.mapInArrow(frugal(compute), "doc_id long, tie long, fps array<long>, node long, sketch array<long>")
 
 
 def links(nodes: DataFrame, distance: int, inside: Callable | None = None, few: int = 16, more: tuple[str, ...] = ()) -> DataFrame:
@@ -246,7 +235,7 @@ def links(nodes: DataFrame, distance: int, inside: Callable | None = None, few:
     smaller first. At anchors of over ``few`` rows ``inside`` has its say, from the fingerprints and the columns ``more``;
     at the others each link counts."""
     spark = nodes.sparkSession
-    inside = inside or (lambda fp, _: links_in(fp, distance, False))
+    inside = inside or (lambda fp, _: links_in(fp, distance))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +284,7 @@ def links(nodes: DataFrame, distance: int, inside: Callable | None = None, few:
             yield from found(np.concatenate(held))
 
     kind = "".join(f", {c} long" for c in more)
-    spread = nodes.select("fp", "node", "first", "view", *more).mapInArrow(replicate, f"key long, fp long, node long, first long{kind}")
+    spread = nodes.select("fp", "node", "first", "view", *more).mapInArrow(frugal(replicate), f"key long, fp long, node long, first long{kind}")
     hot = staged(spread.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "hot")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
@@ -307,8 +296,7 @@ def links(nodes: DataFrame, distance: int, inside: Callable | None = None, few:
         .select("key", F.explode(cells).alias("cell"), "fp", "node", "first", *more)
         .withColumn("cell", F.col("cell").cast("long"))
     )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    pairs = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "first", "node").mapInArrow(compare, "a_first long, a_node long, b_first long, b_node long")
+    pairs = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "first", "node").mapInArrow(frugal(compare), "a_first long, a_node long, b_first long, b_node long")
     end = lambda x: F.struct(F.col(f"{x}_first").alias("first"), F.col(f"{x}_node").alias("node"))
     return pairs.select(end("a").alias("a"), end("b").alias("b")).distinct()
 
@@ -333,7 +321,7 @@ def _similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, ja
                 sets_.append(np.unique(shingle_hashes(w, words)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes_, np.uint64).view(np.int64)), pa.array(sets_, pa.binary())], ["first", "node", "shingles"])
 
-    held = staged(near.mapInArrow(sets, "first long, node long, shingles binary").dropDuplicates(["first", "node"]), "shingles")
+    held = staged(near.mapInArrow(frugal(sets), "first long, node long, shingles binary").dropDuplicates(["first", "node"]), "shingles")
     side = lambda x: held.select(F.struct("first", "node").alias(x), F.col("shingles").alias(f"{x}_set"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +334,7 @@ def _similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, ja
             yield pa.RecordBatch.from_arrays(batch.columns[:2], batch.schema.names[:2]).filter(pa.array(keep))
 
     kind = "struct<first:bigint,node:bigint>"
-    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(measure, f"a {kind}, b {kind}")
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(frugal(measure), f"a {kind}, b {kind}")
 
 
 def _checked_links(nodes: DataFrame, docs: DataFrame, words: int, distance: int, jaccard: float) -> DataFrame:

@@ -127,3 +127,14 @@ def test_shares_of_many_pairs():
     assert np.allclose(got, want)
     assert items.shares(item[:0], words[:0], lo[:0], hi[:0]).tolist() == []
     assert items.shares(item[:2], words[:0], lo[:2] * 0, hi[:2] * 0).tolist() == [0, 0]
+
+
+def test_a_leak_in_a_very_long_text(spark):
+    rng = random.Random(7)
+    vocabulary = [f"term{i}" for i in range(3_000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, prose(40), 0) for i in range(5)]
+    long = f"{prose(60_000)} {items[3][1]} {prose(60_000)}"
+    docs = [(1, long, 0, ""), (2, "y" * 500_000, 0, ""), *((10 + i, prose(100), 0, "") for i in range(30))]
+    found = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH)).collect()
+    assert [(r.doc_id, r.item_id, r.lcs) for r in found] == [(1, 3, 1.0)]
