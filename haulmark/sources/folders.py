@@ -28,11 +28,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) -> None:
+    """Removes what was made after mark() told how much there was, but for the folders to keep."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    _remove(spark, [p for p in made[mark:] if p not in keep])
+    made[mark:] = [p for p in made[mark:] if p in keep]
+
+
+def mark(spark: SparkSession) -> int:
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Removes every folder that this driver has had made so far; returns how many there were. Results of operators read from
     them, so call it once those have been written or are no longer needed."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, paths)
     return len(paths)
