@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.sources.folders import new_folder, remove_staged, shared_dir
+from haulmark.sources.folders import mark, new_folder, remove_since, remove_staged, shared_dir
 
-__all__ = ["frugal", "give_back", "new_folder", "remove_staged", "shared_dir", "small_batches", "staged", "table", "text_or_empty"]
+__all__ = ["frugal", "give_back", "mark", "new_folder", "remove_since", "remove_staged", "shared_dir", "small_batches", "staged", "staged_at", "table", "text_or_empty"]
 
 #: Of one Arrow batch; a row with more is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -24,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, and what Python computed
     is not computed again. Survives lost executors, unlike a local checkpoint. remove_staged() takes such tables away."""
+    return staged_at(df, label)[0]
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The staged table and its folder."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

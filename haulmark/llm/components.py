@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import staged
+from haulmark.llm._common import mark, remove_since, staged, staged_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,10 +35,12 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of any one orderable type -> (node, root), a row for every node that has an edge to another node;
     root is the component's smallest node. Loops and repeated edges do no harm; no edges give no rows."""
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, start = edges.sparkSession, mark(edges.sparkSession)
+    now, at = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = staged(_small(staged(_large(now), "large")), "small")
+        now, at = staged_at(_small(staged(_large(now), "large")), "small")
+        remove_since(spark, start, (at,))  # a round needs nothing but what the last one left
         before, state = state, _state(now)
         if before == state:
             break

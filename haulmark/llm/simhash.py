@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import frugal, small_batches, staged, text_or_empty
+from haulmark.llm._common import frugal, mark, remove_since, small_batches, staged, staged_at, text_or_empty
 from haulmark.llm.components import components
 
 BLOCK = 1_024
 #: Rows with more links than this at one anchor are left to the rounds; a first round takes so many links a row and
 #: anchor, each further one WIDER times as many.
-CROWD, NEAREST, WIDER = 4, 2, 32
+CROWD, NEAREST, WIDER = 4, 1, 32
 NO_ID = (1 << 63) - 1
 #: Up to so many hot anchors or documents (16 bytes each) are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -343,22 +343,31 @@ def _checked_links(nodes: DataFrame, docs: DataFrame, words: int, distance: int,
 
     A first pass takes all links but those between two crowded rows of an anchor. The crowded rows are then compared at all
     their anchors again, in rounds: only links to other components count, of those only the ones that sizes and sketches
-    allow (an exact bound), nearest first. The rounds end when no such link is left out."""
+    allow (an exact bound), nearest first. A round before the others does so at the anchors of one view alone: it joins most
+    of a large group by few links, which the others then need not tell again at every anchor. The rounds end when no such
+    link is left out."""
     by_view = lambda df, *more: df.select(F.posexplode("fps").alias("view", "fp"), "node", "first", *more)
+    spark = docs.sparkSession
     found = staged(links(by_view(nodes), distance, lambda fp, _: links_or_crowd(fp, distance)), "candidates")
     tested = found.where("a <> b")
     good = staged(_similar(tested, docs, nodes, words, jaccard), "links")
-    more, most = ("root", *(f"s{i}" for i in range(5))), NEAREST
+    more, most, views = ("root", *(f"s{i}" for i in range(5))), NEAREST, 1
     while crowd := found.where("a = b").count():
-        own = found.where("a = b").select("a.first", "a.node")
-        own = nodes.join(F.broadcast(own) if crowd <= BROADCAST_ROWS else own, ["first", "node"], "left_semi")
+        start = mark(spark)
+        rows = found.where("a = b").select("a.first", "a.node")
+        own = nodes.join(F.broadcast(rows) if crowd <= BROADCAST_ROWS else rows, ["first", "node"], "left_semi")
         roots = components(good).select(F.col("node.node").alias("node"), F.col("node.first").alias("first"), F.col("root.node").alias("root"))
         own = own.join(roots, ["first", "node"], "left").withColumns({"root": F.coalesce("root", "node"), **{f"s{i}": F.col("sketch")[i] for i in range(5)}})
-        found = links(by_view(staged(own, "crowd"), *more), distance, lambda fp, own_, n=most: nearest_in(fp, distance, jaccard, n, own_), 1, more)
-        found = staged(found, "candidates")
-        fresh = staged(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        good = staged(good.union(_similar(fresh, docs, nodes, words, jaccard)), "links")
-        tested, most = tested.union(fresh), most * WIDER
+        own = by_view(staged(own, "crowd"), *more)
+        pairs = links(own if views is None else own.where(F.col("view") < views), distance, lambda fp, own_, n=most: nearest_in(fp, distance, jaccard, n, own_), 1, more)
+        pairs, keep = staged_at(pairs, "candidates")
+        fresh, also = staged_at(pairs.where("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        good, last = staged_at(good.union(_similar(fresh, docs, nodes, words, jaccard)), "links")
+        remove_since(spark, start, (keep, also, last))
+        tested = tested.union(fresh)
+        if views is None:
+            found, most = pairs, most * WIDER
+        views = None
     return good
 
 
