@@ -25,31 +25,69 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 ALPHA, SUPPORT, CONTEXT, TERM_LETTERS = 0.9, 3, 64, 3
 #: Up to so many entities, terms or documents with terms are broadcast; beyond that the joins shuffle.
 BROADCAST_ROWS = 50_000
+#: Running results over an array are taken in stretches of so many elements.
+BLOCK = 128
 #: Possessive where the next class can't give back, and started only where a leftmost match can start, so that the
 #: search is linear in the text. The matches are those of the plain patterns.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(values: Column, use) -> Column:
+    """Of each stretch of BLOCK elements, use(stretch)."""
+    each = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(values) > 0, F.transform(each, lambda b: use(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))))
+
+
+def _scan(values: Column, op) -> Column:
+    """The running results of an associative op over array<int>: within stretches, then over the stretches' results, so that
+    no array grows by more than a stretch's share of steps."""
+
+    def grow(part: Column) -> Column:
+        first = F.slice(part, F.lit(1), F.lit(1))
+        return F.aggregate(F.slice(part, F.lit(2), F.size(part)), first, lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def after(parts: Column) -> Column:
+        return _let(
+            grow(F.transform(parts, lambda p: F.element_at(p, -1))),
+            lambda ends: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: op(F.get(ends, i - 1), x))))),
+        )
+
+    return F.when(F.size(values) > 0, _let(values, lambda v: _let(_blocks(v, grow), after))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _pieces(text: Column, ranges: Column) -> Column:
+    """The text's parts (from, to), which have rising ends: each is cut out of the stretch that its neighbours share, as a place
+    in a text is found by counting from the front."""
+
+    def cut(part: Column) -> Column:
+        low, high = F.array_min(F.transform(part, lambda r: r["from"])), F.array_max(F.transform(part, lambda r: r["to"]))
+        wide = F.struct(low.alias("at"), F.substring(text, low + 1, high - low).alias("text"))
+        return _let(wide, lambda w: F.transform(part, lambda r: F.substring(w["text"], r["from"] - w["at"] + 1, r["to"] - r["from"])))
+
+    return F.when(F.size(ranges) > 0, _let(ranges, lambda r: F.flatten(_blocks(r, cut)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def found(text: Column, pattern: Column, ok=None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches that are ok: the texts between matches give the places."""
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(hits: Column) -> Column:
+        ends = _scan(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h)), lambda a, x: a + x)
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("value")))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    spans = F.filter(spans, lambda s: ok(s["value"])) if ok else spans
-    return F.when(F.size(hits) > 0, spans).otherwise(empty)
+    spans = _let(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(empty))
+    return F.filter(spans, lambda s: ok(s["value"])) if ok else spans
 
 
 def _digits(value: Column) -> Column:
@@ -96,19 +134,27 @@ def _small(df: DataFrame) -> DataFrame:
 
 def disclosing(found_: DataFrame) -> DataFrame:
     """spotted rows -> (doc, tie, terms): the terms to take out of each document that has any."""
-    entity = lambda kind: F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-    every = F.concat(*map(entity, PATTERNS))
-    left = F.substring("text", F.greatest(F.lit(1), F.col("e.start") - CONTEXT + 1), F.least(F.col("e.start"), F.lit(CONTEXT)))
-    right = F.substring("text", F.col("e.end") + 1, F.lit(CONTEXT))
+    def entities_of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value")))
+
+    def in_context(each: Column) -> Column:
+        cut = lambda low, high: _pieces(F.col("text"), F.transform(each, lambda e: F.struct(low(e).alias("from"), high(e).alias("to"))))
+        lefts = cut(lambda e: F.greatest(F.lit(0), e["start"] - CONTEXT), lambda e: e["start"])
+        rights = cut(lambda e: e["end"], lambda e: e["end"] + CONTEXT)
+        around = F.zip_with(lefts, rights, lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+        return F.zip_with(each, around, lambda e, c: F.struct(e.alias("e"), c["left"].alias("left"), c["right"].alias("right")))
+
+    # each mention is found once and leaves with its context alone, not with the text
+    every = F.array_sort(F.concat(*map(entities_of, PATTERNS)))
+    own = found_.select("doc", "tie", F.length("text").alias("size"), F.explode(_let(every, in_context)).alias("m")).select("doc", "tie", "size", "m.*")
     # no parts of words: neither at the ends of the context nor where a mention starts or ends inside one
+    left, right = F.col("left"), F.col("right")
     left = F.when(F.col("e.start") > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     left = F.when(F.rlike("e.value", F.lit(r"^\p{L}")), F.regexp_replace(left, r"\p{L}+$", "")).otherwise(left)
-    right = F.when(F.col("e.end") + CONTEXT < F.length("text"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    right = F.when(F.col("e.end") + CONTEXT < F.col("size"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
     right = F.when(F.rlike("e.value", F.lit(r"\p{L}$")), F.regexp_replace(right, r"^\p{L}+", "")).otherwise(right)
     near = F.concat(left, F.lit("\n"), right)
-    mentions = staged(
-        found_.select("doc", "tie", "text", F.explode(every).alias("e")).select("doc", "tie", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.lower(near).alias("near")), "mentions"
-    )
+    mentions = staged(own.select("doc", "tie", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.lower(near).alias("near")), "mentions")
     contexts = mentions.select("entity", F.xxhash64("near").alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("n"))
     entities = staged(contexts.where(F.col("n") >= SUPPORT).select("entity"), "entities")
     again = mentions.join(_small(entities), "entity", "left_semi")
@@ -141,9 +187,18 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "rest", "text", "terms", F.concat(*map(number, PATTERNS)).alias("base"))
     wanted = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     extra = F.transform(found(F.col("text"), wanted), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
-    clear = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    spans = F.when(F.col("terms").isNotNull(), F.concat("base", clear)).otherwise(F.col("base"))
-    return rows.select("doc_id", "rest", "text", F.array_sort(spans).alias("spans"))
+    spans = F.when(F.col("terms").isNotNull(), _let(F.array_sort(F.concat("base", extra)), _clear)).otherwise(F.array_sort("base"))
+    return rows.select("doc_id", "rest", "text", spans.alias("spans"))
+
+
+def _clear(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap a base span: one that starts no later, or one that starts later."""
+    ends = _scan(F.transform(spans, lambda s: F.when(s["kind"] < 4, s["end"]).otherwise(0)), F.greatest)
+    begins = F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 4, s["start"]).otherwise((1 << 31) - 1))
+    begins = F.reverse(_scan(begins, F.least))
+    told = F.zip_with(F.zip_with(ends, begins, lambda e, b: F.struct(e.alias("before"), b.alias("after"))), spans, lambda x, s: F.struct(x.alias("x"), s.alias("s")))
+    apart = F.filter(told, lambda t: (t["s"]["kind"] < 4) | (t["x"]["before"] <= t["s"]["start"]) & (t["s"]["end"] <= t["x"]["after"]))
+    return F.transform(apart, lambda t: t["s"])
 
 
 def joined(spans: Column) -> Column:
@@ -156,16 +211,15 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with every span generalised to its kind; overlapping spans become one, named by the first."""
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def add(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(apart, F.array(piece)).otherwise(F.expr("cast(array() as array<string>)"))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
-
+    def done(ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        ranges = F.zip_with(before, spans, lambda b, s: F.struct(b.alias("from"), F.greatest(b, s["start"]).alias("to")))
+        apart = F.zip_with(before, spans, lambda b, s: F.when(s["start"] >= b, F.element_at(marks, s["kind"] + 1)).otherwise(""))
+        parts = F.zip_with(_pieces(text, ranges), apart, lambda p, m: F.concat(p, m))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
+    ends = _scan(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, _let(ends, done)).otherwise(text)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

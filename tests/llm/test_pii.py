@@ -1,5 +1,7 @@
 import hashlib
 import re
+import time
+from itertools import accumulate
 
 from haulmark.llm import pii
 from haulmark.llm.pii import KINDS, joined, personal_spans, redacted
@@ -77,3 +79,30 @@ def test_overlaps_and_empty_table(spark):
     r = personal_spans(df).select(redacted(pii.F.col("text"), pii.F.col("spans"))).first()
     assert r[0] == "x [EMAIL] y +[CARD]" or r[0] == "x [EMAIL] y [PHONE]"
     assert personal_spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    """Linear in the number of matches: each would take minutes if an array grew by one each time."""
+    texts = ["12," * 64_000, "a@b.c " * 10_000, "4111111111111111," * 10_000, "1.2.3.4 boss@corp.example 12 " * 5_000]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    began = time.time()
+    rows = personal_spans(df).select("doc_id", "text", "spans", redacted(pii.F.col("text"), pii.F.col("spans")).alias("clean")).collect()
+    took = time.time() - began
+    for r in rows:
+        spans = [(m.start(), k, m.end()) for k, kind in enumerate(PLAIN) for m in re.finditer(PLAIN[kind], r.text) if valid(kind, m.group())]
+        assert sorted(tuple(s) for s in r.spans) == sorted(spans)
+    clean = {r.doc_id: r.clean for r in rows}
+    assert clean[0] == texts[0] and clean[1] == "[EMAIL] " * 10_000 and clean[2] == "[CARD]," * 10_000 and clean[3] == "[IP] [EMAIL] 12 " * 5_000
+    assert took < 240
+
+
+def test_terms_that_overlap_base_spans_give_way(spark):
+    base = [(0, 0, 4), (10, 1, 20), (30, 2, 31)]
+    terms = [(2, 4, 6), (4, 4, 8), (8, 4, 11), (12, 4, 14), (19, 4, 25), (25, 4, 29), (26, 4, 40), (31, 4, 35)]
+    df = spark.createDataFrame([(sorted(base + terms),)], "spans array<struct<start:int,kind:int,end:int>>")
+    got = [tuple(s) for s in df.select(pii._clear(pii.F.col("spans"))).first()[0]]
+    assert got == [s for s in sorted(base + terms) if s[1] < 4 or not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+    values = [5, 3, 8, 1] * 100
+    df = spark.createDataFrame([(values, [])], "v array<int>, e array<int>")
+    r = df.select(pii._scan(pii.F.col("v"), lambda a, b: a + b).alias("s"), pii._scan(pii.F.col("v"), pii.F.greatest).alias("m"), pii._scan(pii.F.col("e"), pii.F.greatest).alias("e")).first()
+    assert r.s == list(accumulate(values)) and r.m == list(accumulate(values, max)) and r.e == []
