@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -5,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from haulmark.llm import langid
-from haulmark.llm.langid import Vocabulary, expected, fit, forward, predict, words_of
+from haulmark.llm.langid import Vocabulary, expected, fit, forward, predict, score_long, words_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -42,11 +46,67 @@ def test_forward_sums_all_segmentations(vocab):
         assert np.allclose(got, 3 * counts / total[0])
 
 
-def test_long_runs_do_not_underflow(vocab):
+def brute(text, vocab, p):
+    """Log probabilities of a text by an exact sum over places, letter by letter, in rational numbers."""
+    total = np.zeros(p.shape[1])
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        word = "▁" + word
+        for lang in range(p.shape[1]):
+            sums = [Fraction(1)]
+            for j in range(1, len(word) + 1):
+                pieces = [(i, vocab.ids.get(word[i:j], vocab.unknown if j - i == 1 else vocab.none)) for i in range(max(0, j - langid.PIECE_CHARS), j)]
+                sums.append(sum((sums[i] * Fraction(p[x, lang]) for i, x in pieces if p[x, lang]), Fraction(0)))
+            total[lang] += math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+    return total
+
+
+def test_long_runs_do_not_underflow(vocab, monkeypatch):
     p = np.full((vocab.size, 3), 1e-9)
     p[vocab.none] = 0
     assert np.isfinite(forward(vocab.table(["▁" + "q" * 256]), p)).all()
-    assert max(map(len, words_of("x" * 100_000))) == langid.RUN_LETTERS
+    monkeypatch.setattr(langid, "STRETCH", 50)
+    for word in ("▁" + "thequickbrown" * 30, "▁" + "x" * 777):  # whole words, in stretches
+        assert words_of(word) == [word[1:]]
+        assert np.allclose(score_long(word, p, vocab), forward(vocab.table([word]), p)[0])
+
+
+def test_one_odd_word_does_not_spoil_the_fit(vocab):
+    words = ["▁" + "ꙮꙀꚀ" * 15 + "q", *["▁the", "▁water", "▁house"]]
+    p = langid.fit_words(words, np.array([1.0, 4e6, 3e6, 2e6]), vocab)
+    assert np.isfinite(p).all() and abs(p.sum() - 1) < 1e-9
+
+
+def test_predictions_equal_brute_force(spark, tmp_path, vocab):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500").limit(60)
+    odd = [(9001, None, "en", "s", 0), (9002, "12 !", "fr", "s", 4), (9003, "The the", None, "s", 7), (9003, "The the", None, "s", 7)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    from haulmark.llm.q_langid import op5_langid
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    langs, p = fit(docs.where("pmod(crc32(cast(doc_id as string)), 3) <> 1"), PATH)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op5_langid(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        n = len(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
+        if not n:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = brute(texts[r.doc_id], vocab, p)
+        assert langs.index(r.lang_pred) == total.argmax()
+        assert abs(r.score - 1 / np.exp((total - total.max()) * min(n, langid.SCORE_WORDS) / n).sum()) < 1e-6
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_clashing_names_and_copies(spark):
+    kind = "Score string, doc_id long, text string, lang string, lang_pred string"
+    docs = [("x", i, "the house and the water", "en", "no") for i in range(500)] + [("x", 900, "la maison et le bateau", "fr", "no")]
+    df = spark.createDataFrame(docs, kind)
+    langs, p = fit(df, PATH)  # a language with a single text beside one of copies only
+    assert langs == ["en", "fr"]
+    got = predict(df, PATH, langs, p)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert {(r.lang, r.lang_pred) for r in got.collect()} == {("en", "en"), ("fr", "fr")}
 
 
 def test_held_out_accuracy(spark):
