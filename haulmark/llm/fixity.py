@@ -65,7 +65,12 @@ def write_archives(records: DataFrame, archives: int, path: str) -> None:
     places = staged(layout(records, archives), "places").withColumn("page", F.coalesce("page_id", F.lit(-(1 << 63))))
     distinct = records.withColumns({"sha256": F.sha2("record", 256), "page": F.coalesce("page_id", F.lit(-(1 << 63)))}).dropDuplicates(["page", "url", "sha256"])
     rows = distinct.select("page", "url", "sha256", "record").join(places, ["page", "url", "sha256"])
-    rows.select("archive", "offset", "record").sortWithinPartitions("archive", "offset").write.parquet(path)
+    save(rows.select("archive", "offset", "record").sortWithinPartitions("archive", "offset"), path)
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """Archives hold much text; the stronger codec halves them."""
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.llm._common import new_folder, table
-from haulmark.llm.fixity import DATE, RECORDS, audit, bucket, read_archives, warc_records, write_archives
+from haulmark.llm.fixity import DATE, RECORDS, audit, bucket, read_archives, save, warc_records, write_archives
 
 #: The replica has lost one in so many records, changed another, and holds a third twice.
 DAMAGE = 64
@@ -24,7 +24,7 @@ def damaged(copy: DataFrame) -> DataFrame:
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, ours, theirs = table(spark, sf_dir, "pages"), new_folder(spark, "primary"), new_folder(spark, "replica")
     write_archives(warc_records(pages), max(1, -(-pages.count() // RECORDS)), ours)
-    damaged(read_archives(spark, ours)).write.parquet(theirs)
+    save(damaged(read_archives(spark, ours)), theirs)
     return audit(read_archives(spark, ours), read_archives(spark, theirs))
 
 
