@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from haulmark.llm.components import components
-from haulmark.llm.simhash import anchors, layout, links_in, near_duplicates, nearest_in, patterns, remixed, sketch
+from haulmark.llm.simhash import anchors, fingerprints, layout, links_in, near_duplicates, nearest_in, patterns, remixed, sketch
 
 SCHEMA = "doc_id long, text string, fp string, key string"
 
@@ -144,6 +144,28 @@ def test_nearest_links_leave_nothing_unsaid():
     assert want <= set(zip(a.tolist(), b.tolist(), strict=True)) and (a < b).all() and len(a) < 80 * 79 / 2
 
 
+def test_every_pair_just_over_the_similarity_is_linked(spark):
+    rng = random.Random(17)
+    data = []
+    for i in range(400):  # 300 shingles of five words, of which 30 differ: a Jaccard similarity of 0.82
+        base = [f"word{rng.randrange(100_000)}" for _ in range(304)]
+        other = list(base)
+        for p in rng.sample(range(5, 299, 6), 6):
+            other[p] = f"new{p}"
+        data += [(2 * i, " ".join(base), "", ""), (2 * i + 1, " ".join(other), "", "")]
+    got = near_duplicates(spark.createDataFrame(data, SCHEMA), words=5, distance=11, jaccard=0.8, views=3).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 800
+
+
+def test_texts_that_are_not_alike_hardly_meet(spark):
+    rng = random.Random(18)
+    line = " ".join(f"a{i}" for i in range(30))  # stands in each text
+    data = [(i, " ".join([*(f"word{rng.randrange(50_000)}" for _ in range(90)), line, *(f"word{rng.randrange(50_000)}" for _ in range(90))]), "", "") for i in range(3_000)]
+    keys = fingerprints(spark.createDataFrame(data, SCHEMA), 5, 3, True).select(F.explode("keys").alias("key")).groupBy("key").count()
+    rows, most, pairs = keys.agg(F.sum("count"), F.max("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
+    assert rows <= 12 * 3_000 and most < 300 and pairs < 0.03 * 3_000**2 / 2
+
+
 def test_very_long_texts(spark):
     rng = random.Random(3)
     long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(120_000))
