@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from haulmark.llm._common import kept
+
 SPACE = chr(256 + 32)
 #: A memo that is full becomes the old one, which is still asked; so each holds at most twice that and one call's.
 MEMO, MEMO_CHARS, CALL_CHARS, CALL_BYTES = 200_000, 48, 200_000, 2_000_000
@@ -211,11 +213,6 @@ def encoded(enc: ChunkEncoder, texts: pa.Array, size: int = CALL_BYTES) -> Itera
         at = to
 
 
-_open: dict[tuple[str, str], ChunkEncoder] = {}
-
-
 def encoder(path: str, boundary: str) -> ChunkEncoder:
     """One per Python worker."""
-    if (path, boundary) not in _open:
-        _open[path, boundary] = ChunkEncoder(path, boundary)
-    return _open[path, boundary]
+    return kept(ChunkEncoder, path, boundary)

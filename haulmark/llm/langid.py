@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm._common import frugal, small_batches, staged
+from haulmark.llm._common import frugal, kept, small_batches, staged
 
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, FIT_LETTERS = 256, 400, 65_536, 48
 ROUNDS, SMOOTH, PIECE_CHARS, MEMO_WORDS = 3, 0.05, 16, 100_000
@@ -92,13 +92,8 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
-_open: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _open:
-        _open[path] = Vocabulary(path)
-    return _open[path]
+    return kept(Vocabulary, path)
 
 
 def words_of(text: str) -> list[str]:

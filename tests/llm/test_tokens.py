@@ -138,3 +138,12 @@ def test_copies_of_a_row_are_split(spark, monkeypatch):
     got = sorted(map(tuple, read_token_files(spark, path).select("start", "doc_id", "n_tokens").collect()))
     assert len(got) == len(rows) and [g[1] for g in got] == sorted(r[0] for r in rows)
     assert all(a + n == b for (a, _, n), (b, *_) in zip(got, got[1:], strict=False))
+
+
+def test_a_worker_keeps_what_one_kind_of_stage_needs():
+    from haulmark.llm import _common, langid
+
+    own = chunked_tokens.encoder(BYTE, "leading")
+    assert chunked_tokens.encoder(BYTE, "leading") is own
+    langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert not any(x is own for x in _common._kept.values()) and len(_common._kept) == 1
