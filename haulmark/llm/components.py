@@ -9,9 +9,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from haulmark.llm._common import mark, remove_since, staged, staged_at
 
+FEW = 100_000
+
+
+def _roots(edges: list[tuple]) -> list[tuple]:
+    """Union-find over (larger, smaller): (node, root) of each node."""
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    order = lambda x: tuple((y is not None, y) for y in (x if isinstance(x, tuple) else (x,)))
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)), key=order)
+        parent[b] = a
+    return [(x, root(x)) for x in list(parent)]
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -38,6 +60,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark, start = edges.sparkSession, mark(edges.sparkSession)
     now, at = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
+    if state[0] <= FEW:
+        kind = now.schema["a"].dataType
+        found = spark.createDataFrame(_roots(now.collect()), StructType([StructField("node", kind), StructField("root", kind)]))
+        remove_since(spark, start)
+        return found
     while state[0]:
         now, at = staged_at(_small(staged(_large(now), "large")), "small")
         remove_since(spark, start, (at,))  # a round needs nothing but what the last one left

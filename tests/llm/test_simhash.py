@@ -76,6 +76,18 @@ def test_components_of_paths_stars_and_rings(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_at_the_driver_equal_those_by_shuffles(spark, monkeypatch):
+    from haulmark.llm import components as module
+
+    rng = random.Random(6)
+    edges = spark.createDataFrame([((rng.randrange(200), rng.randrange(3)), (rng.randrange(200), rng.randrange(3))) for _ in range(260)], "a struct<x:long,y:long>, b struct<x:long,y:long>")
+    monkeypatch.setattr(module, "_large", None)  # no round is needed
+    few = sorted(map(tuple, module.components(edges).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "FEW", 0)
+    assert few == sorted(map(tuple, module.components(edges).collect())) and few
+
+
 def rows():
     rng = random.Random(9)
     vocab = [f"word{i}" for i in range(300)]
