@@ -18,8 +18,10 @@ mark) goes to the library whole. Both memos are bounded.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from haulmark.llm._common import kept
 
 SPACE = chr(256 + 32)
 #: A memo that is full becomes the old one, which is still asked; so each holds at most twice that and one call's.
-MEMO, MEMO_CHARS, CALL_CHARS, CALL_BYTES = 200_000, 48, 200_000, 2_000_000
+MEMO, MEMO_CHARS, CALL_CHARS, CALL_BYTES = 300_000, 48, 200_000, 4_000_000
 VISIBLE = "!-~¡-ɏ"
 LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 MARKS = r"!-&(-/:-@\[-`{-~"
@@ -55,6 +57,18 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without searches for cycles: encoding makes none, but so many lists that the memos would be gone through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class ChunkEncoder:
     """encode_column(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -182,6 +196,7 @@ class ChunkEncoder:
         whole = np.logical_or.reduceat(bad, starts[:-1]) if len(codes) else bad
         return [None if w else data[a:b].to_pybytes() for w, a, b in zip(whole.tolist(), ends, ends[1:], strict=False)]
 
+    @uncollected()
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids."""
         added = np.zeros(len(texts), bool)

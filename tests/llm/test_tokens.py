@@ -147,3 +147,20 @@ def test_a_worker_keeps_what_one_kind_of_stage_needs():
     assert chunked_tokens.encoder(BYTE, "leading") is own
     langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     assert not any(x is own for x in _common._kept.values()) and len(_common._kept) == 1
+
+
+def test_encoding_is_not_interrupted_by_searches_for_cycles():
+    import gc
+
+    runs = []
+    note = lambda phase, info: runs.append(info["generation"])
+    enc = ChunkEncoder(BYTE, "leading")
+    texts = pa.array([" ".join(f"w{i}x{j}-a" for i in range(400)) for j in range(50)])
+    gc.callbacks.append(note)
+    try:
+        own = enc.encode_column(texts)
+    finally:
+        gc.callbacks.remove(note)
+    assert not runs and gc.isenabled()
+    whole = Tokenizer.from_file(BYTE).encode(texts[3].as_py(), add_special_tokens=False).ids
+    assert np.frombuffer(own[3], "<u4").tolist() == whole
