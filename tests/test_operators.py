@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from haulmark.functions import text as fn
 from haulmark.operators import access, analytics, cdc, enrich, governor, ledger, planning, reconcile
 from haulmark.operators.enrich import VendorError
 from haulmark.operators.governor import Breaker, LaneLimiter, delay_ms, governed
+from haulmark.streaming import changes
 from haulmark.streaming.changes import advance
 
 
@@ -361,3 +363,37 @@ def test_plans_of_ranges(spark):
     assert planning.plan(empty, planning.max_of(spark, 0)).collect() == []
     files = spark.range(1, 3002)
     assert planning.in_ranges(files, again.where("range_start = 3001")).collect() == [(3001,)]
+
+
+def folded(spark, folder, *parts):
+    """The streaming job run after each part; a job that goes on with nothing to read is stopped, and fails the test."""
+    for part in parts:
+        spark.createDataFrame(part, changes.LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        job = threading.Thread(target=changes.run, args=(spark, f"{folder}/log", f"{folder}/out"), daemon=True)
+        job.start()
+        job.join(60)
+        busy = job.is_alive()
+        for query in spark.streams.active:
+            query.stop()
+        assert not busy
+
+
+def envelope(op, key, at):
+    image = f'{{"id": {key}, "filename": "f{key}", "byte_size": 10}}'
+    return f'{{"op": "{op}", "before": {image if op == "d" else "null"}, "after": {"null" if op == "d" else image}, "ts_ms": {at}}}'
+
+
+def test_streaming_fold_ends_when_the_log_is_read(spark, tmp_path):
+    held = spark.conf.get(changes.EMPTY_BATCHES)
+    first = [(1, envelope("c", 1, 10)), (2, envelope("c", 2, 20)), (3, "this is not json")]
+    folded(spark, tmp_path, first, [(4, envelope("u", 1, 40)), (5, envelope("d", 2, 50))])
+    assert [(r.source_id, r.attempts, r.source_version, r.last_seq) for r in changes.ledger_of(spark, f"{tmp_path}/out").collect()] == [(1, 2, 40, 4)]
+    assert sorted(p.name for p in (tmp_path / "out/ledger").glob("batch=*")) == ["batch=0", "batch=1"]
+    assert spark.conf.get(changes.EMPTY_BATCHES) == held
+
+
+def test_streaming_fold_forgets_old_tombstones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "TOMBSTONE_DAYS", 1 / 86_400_000)
+    folded(spark, tmp_path, [(5, envelope("d", 1, 10))], [(6, envelope("c", 2, 20))], [(4, envelope("c", 1, 30))])
+    rows = spark.read.parquet(f"{tmp_path}/out/ledger/batch=2").collect()
+    assert [(r.source_id, r.last_seq, r.deleted, r.late) for r in rows] == [(1, 4, False, 0)]
