@@ -9,8 +9,12 @@ from haulmark.schemas import ENVELOPE, OPS
 
 
 def parse(log: DataFrame) -> DataFrame:
-    """log with envelope, id, version and created_at."""
-    e = log.withColumn("envelope", F.from_json("value", ENVELOPE, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    """log with envelope, id, version and created_at.
+
+    The envelope is exploded from an array of one: a filter on what is in it, such as its route, then stays above and doesn't
+    parse the text anew for each part of its condition."""
+    parsed = F.from_json("value", ENVELOPE, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    e = log.select("*", F.explode_outer(F.array(parsed)).alias("envelope"))
     op = F.col("envelope.op")
     return e.withColumns({
         "op": op, "id": F.when(op == "d", F.col("envelope.before.id")).otherwise(F.col("envelope.after.id")),

@@ -397,3 +397,34 @@ def test_streaming_fold_forgets_old_tombstones(spark, tmp_path, monkeypatch):
     folded(spark, tmp_path, [(5, envelope("d", 1, 10))], [(6, envelope("c", 2, 20))], [(4, envelope("c", 1, 30))])
     rows = spark.read.parquet(f"{tmp_path}/out/ledger/batch=2").collect()
     assert [(r.source_id, r.last_seq, r.deleted, r.late) for r in rows] == [(1, 4, False, 0)]
+
+
+def test_a_filter_on_envelopes_parses_each_text_once(spark):
+    log = spark.createDataFrame([(1, envelope("c", 1, 10)), (2, envelope("d", 1, 20)), (3, "this is not json"), (4, None)], changes.LOG)
+    for rows in (cdc.changes(log), cdc.routed(log).where("route in ('tombstone', 'malformed')")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sorted((r.seq, r.id, r.op, r.version) for r in cdc.changes(log).collect()) == [(1, 1, "c", 10), (2, 1, "d", 20)]
+    assert sorted((r.seq, r.route) for r in cdc.routed(log).collect()) == [(1, "c"), (2, "d"), (3, "malformed"), (4, "tombstone")]
+
+
+def test_streaming_fold_keeps_a_stretch_of_keys_in_one_state(spark, tmp_path):
+    ids = [*range(-3, 96), 2**60 + 1, 2**60 + 2]
+    first = [(n, envelope("c", i, n)) for n, i in enumerate(ids, 1)]
+    second = [(1_000 + n, envelope("d" if n % 3 == 0 else "u", i, 1_000 + n)) for n, i in enumerate(ids) if n % 2]
+    third = [(2_000 + n, envelope("r" if n % 2 else "u", i, 2_000 + n)) for n, i in enumerate(ids) if n % 5 == 0]
+    folded(spark, tmp_path, first, second, [*third, second[0], second[1]])
+    want = cdc.fold(cdc.changes(spark.createDataFrame([*first, *second, *third], changes.LOG)))
+    columns = ["source_id", "lane", "status", "attempts", "source_version", "last_seq"]
+    assert sorted(changes.ledger_of(spark, f"{tmp_path}/out").select(columns).collect()) == sorted(want.select(columns).collect())
+    late = spark.read.parquet(f"{tmp_path}/out/ledger/batch=2").where("late > 0").collect()
+    assert sorted((r.source_id, r.last_seq, r.late) for r in late) == [(-2, 1_001, 1), (0, 1_003, 1)]
+    states = spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint/ledger")
+    assert states.count() == len({i >> changes.STRETCH for i in ids})
+
+
+def test_streaming_fold_forgets_a_tombstone_beside_live_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "TOMBSTONE_DAYS", 1 / 86_400_000)
+    away = [(9, envelope("c", 1_000, 30))]
+    folded(spark, tmp_path, [(5, envelope("d", 1, 10)), (6, envelope("c", 2, 20))], away, [(4, envelope("c", 1, 30)), (8, envelope("u", 2, 40)), (6, envelope("c", 2, 20))])
+    rows = spark.read.parquet(f"{tmp_path}/out/ledger/batch=2").collect()
+    assert sorted((r.source_id, r.attempts, r.last_seq, r.deleted, r.late) for r in rows) == [(1, 1, 4, False, 0), (2, 2, 8, False, 1)]
