@@ -83,6 +83,8 @@ def extracted(files: DataFrame) -> DataFrame:
 
 
 RESULT = "source_id long, outcome string, reason string, text string, calls int"
+#: Rows and characters of text that are passed on at once: a frame costs far more than a row, and long answers take memory.
+OUT_ROWS, OUT_CHARS = 10_000, 4_000_000
 
 
 def call_vendor(files: DataFrame, vendor: Callable[[list[tuple[int, bytes]]], dict[int, str]], batch: int = VENDOR_BATCH, governed: Callable | None = None) -> DataFrame:
@@ -99,10 +101,19 @@ def call_vendor(files: DataFrame, vendor: Callable[[list[tuple[int, bytes]]], di
 
         through = governed() if governed else None
         send = (lambda rows: through(lambda: vendor(rows))) if through else vendor
+        told = lambda rows: pd.DataFrame(rows, columns=["source_id", "outcome", "reason", "text", "calls"])
+        out, chars = [], 0
         for frame in frames:
             rows = list(zip(frame["id"].tolist(), (bytes(x) for x in frame["content"]), strict=True))
             for at in range(0, len(rows), batch):
-                yield pd.DataFrame(_send(rows[at : at + batch], send), columns=["source_id", "outcome", "reason", "text", "calls"])
+                sent = _send(rows[at : at + batch], send)
+                out += sent
+                chars += sum(len(text) for *_, text, _ in sent if text)
+                if len(out) >= OUT_ROWS or chars >= OUT_CHARS:
+                    yield told(out)
+                    out, chars = [], 0
+        if out:
+            yield told(out)
 
     return files.select("id", "content").mapInPandas(run, RESULT)
 

@@ -428,3 +428,28 @@ def test_streaming_fold_forgets_a_tombstone_beside_live_keys(spark, tmp_path, mo
     folded(spark, tmp_path, [(5, envelope("d", 1, 10)), (6, envelope("c", 2, 20))], away, [(4, envelope("c", 1, 30)), (8, envelope("u", 2, 40)), (6, envelope("c", 2, 20))])
     rows = spark.read.parquet(f"{tmp_path}/out/ledger/batch=2").collect()
     assert sorted((r.source_id, r.attempts, r.last_seq, r.deleted, r.late) for r in rows) == [(1, 1, 4, False, 0), (2, 2, 8, False, 1)]
+
+
+def test_answers_of_many_calls_come_in_one_frame():
+    import pandas as pd
+
+    class Taken:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return run
+
+    def sizes(n, vendor, batch):
+        frames = (pd.DataFrame({"id": range(at, at + 1_000), "content": [b"text"] * 1_000}) for at in range(0, n, 1_000))
+        found = list(enrich.call_vendor(Taken(), vendor, batch)(frames))
+        assert pd.concat(found)["source_id"].tolist() == list(range(n))
+        return [len(f) for f in found]
+
+    def down(rows):
+        raise VendorError("TRANSIENT")
+
+    assert sizes(1_000, lambda rows: {i: c.decode() for i, c in rows}, 25) == [1_000]
+    assert sizes(25_000, down, 1) == [enrich.OUT_ROWS, enrich.OUT_ROWS, 5_000]
+    long = "x" * (enrich.OUT_CHARS // 100)
+    assert sizes(1_000, lambda rows: {i: long for i, _ in rows}, 25) == [100] * 10
